@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import fingerprint, mixing, quality, warc
 
-QUERIES = {"op10_warc": warc.op10_warc}
-SQL = {"op10_warc": warc.SQL}
+QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op3_fingerprints": fingerprint.op3_fingerprints,
+    "op7_mix": mixing.op7_mix,
+    "op10_warc": warc.op10_warc,
+}
+SQL = {"op7_mix": mixing.SQL, "op10_warc": warc.SQL}

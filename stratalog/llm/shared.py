@@ -9,6 +9,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Python workers give freed column memory back at once instead of keeping it beside the JVM's.
+pa.set_memory_pool(pa.system_memory_pool())
+#: Bounds of what a Python worker holds of its input at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from spark.checkpoint.dir; where that is unset (tests), a temporary one."""
@@ -22,6 +27,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with batches of bounded size for Python stages."""
+    for k, v in BATCH.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

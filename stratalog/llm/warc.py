@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import batch, filesystem, new_folder, through_table
+from .shared import batch, bounded, filesystem, new_folder, through_table
 
 #: Payloads shorter than this are never revisits.
 LEAST = 100
@@ -93,7 +93,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, least: int = L
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, out, size, n, packer = TaskContext.get().partitionId(), 0, None, 0, 0, None
-        for b in batches:
+        for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
             for page_id, url, html, digest, first_id, revisit in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "first_id", "revisit")), strict=True):
                 if out is None:
                     uri = f"{folder}/raw/{part:06d}-{seq:04d}.warc.gz"
@@ -224,7 +224,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "warc")
-    raw = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    raw = write_archives(bounded(spark).read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_archives(normalise(raw, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
