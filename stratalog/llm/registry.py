@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, quality, warc
+from . import fingerprint, mixing, quality, substring, suffix, warc
 
 QUERIES = {
+    "op1_substring": substring.op1_substring,
     "op2_quality": quality.op2_quality,
     "op3_fingerprints": fingerprint.op3_fingerprints,
+    "op4_suffix": suffix.op4_suffix,
     "op7_mix": mixing.op7_mix,
     "op10_warc": warc.op10_warc,
 }
