@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, quality, substring, suffix, warc
+from . import fingerprint, jaccard, mixing, quality, substring, suffix, warc
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op2_quality": quality.op2_quality,
     "op3_fingerprints": fingerprint.op3_fingerprints,
     "op4_suffix": suffix.op4_suffix,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_mix": mixing.op7_mix,
     "op10_warc": warc.op10_warc,
 }
