@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, jaccard, mixing, quality, substring, suffix, warc
+from . import contamination, fingerprint, jaccard, lines, mixing, quality, substring, suffix, warc
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_suffix": suffix.op4_suffix,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_mix": mixing.op7_mix,
+    "op8_lines": lines.op8_lines,
+    "op9_contamination": contamination.op9_contamination,
     "op10_warc": warc.op10_warc,
 }
-SQL = {"op7_mix": mixing.SQL, "op10_warc": warc.SQL}
+SQL = {"op7_mix": mixing.SQL, "op8_lines": lines.SQL, "op10_warc": warc.SQL}
