@@ -26,15 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import BYTE, BYTE_BASE, U, WORD_BASE, anchors, gram_hashes, inside, mix, runs, text_chunks, word_hashes, words
+from .kernel import BYTE, BYTE_BASE, U, WORD_BASE, anchors, gram_hashes, inside, mix, prefix, sliding, span_hash, text_chunks, word_hashes, words
 from .shared import partitions, through_table
 
 HEAVY = 20_000
 #: Anchors, and bytes of runs, that a Python task gathers before it merges and sends them.
-FLUSH_ANCHORS, FLUSH_BYTES = 1_000_000, 12 << 20
+FLUSH_ANCHORS, FLUSH_BYTES = 1_000_000, 24 << 20
 
 
 @dataclass(frozen=True)
@@ -64,11 +64,16 @@ class Scheme:
     def codes(self, units: np.ndarray, buf: np.ndarray) -> np.ndarray:
         return buf if self.unit == "byte" else (units >> U(64 - 8 * np.dtype(self.code).itemsize)).astype(self.code)
 
-    def lowest(self, units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Anchor of each window (0: no window), anchors' hashes and positions."""
+    def anchors(self, units: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors' hashes and positions."""
         grams = gram_hashes(units, self.gram, self.base)
-        low, at = anchors(grams, inside(first, self.gram, len(units)), inside(first, self.length, len(units)), self.width)
-        return low, grams[at], at
+        at = anchors(grams, inside(first, self.gram, len(units)), inside(first, self.length, len(units)), self.width)[1]
+        return grams[at], at
+
+    def lowest(self, units: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Anchor of each window (0: no window)."""
+        ok = inside(first, self.length, len(units))
+        return np.where(ok, sliding(gram_hashes(units, self.gram, self.base), self.width)[: len(ok)], U(0))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -95,6 +100,33 @@ def _split(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list
         yield int(bucket[order[a]]), [c[order[a:z]] for c in columns]
 
 
+def key_buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.view(U)) % U(buckets)).astype(np.int64)
+
+
+def packed_rows(bucket: list[int], columns: dict[str, list[bytes]], more: dict[str, list[bytes | None]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array(x, pa.binary()) for x in (*columns.values(), *more.values()))], ["bucket", *columns, *more])
+
+
+def deal(bucket: np.ndarray, columns: dict[str, np.ndarray], more: tuple[str, ...] = ("heavy",)) -> Iterator[pa.RecordBatch]:
+    """One row of packed columns for each bucket; null in more."""
+    items = list(_split(bucket, *columns.values()))
+    for a in range(0, len(items), 64):
+        few = items[a : a + 64]
+        yield packed_rows([b for b, _ in few], {name: [c[i].tobytes() for _, c in few] for i, name in enumerate(columns)}, {name: [None] * len(few) for name in more})
+
+
+def unpack(batches: Iterator[pa.RecordBatch], kinds: dict[str, type], more: list[str] = ()) -> tuple[list[np.ndarray], list[list[bytes]]]:
+    """The packed columns of all rows side by side, and what isn't null of the others."""
+    cols, rest = {c: [] for c in kinds}, {c: [] for c in more}
+    for b in batches:
+        for c, kind in kinds.items():
+            cols[c] += [np.frombuffer(x, kind) for x in b.column(c).to_pylist() if x]
+        for c in more:
+            rest[c] += [x for x in b.column(c).to_pylist() if x]
+    return [np.concatenate(x) if x else np.zeros(0, kinds[c]) for c, x in cols.items()], list(rest.values())
+
+
 def by_key(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Columns by key; keys are signed 64-bit."""
     if len(keys):
@@ -142,7 +174,7 @@ def repeated_anchors(rows: DataFrame, scheme: Scheme) -> DataFrame:
             keys = b.column("key").to_numpy()
             for a, _, buf, offs in text_chunks(b.column("text")):
                 units, first = scheme.units(buf, offs)
-                _, h, at = scheme.lowest(units, first)
+                h, at = scheme.anchors(units, first)
                 doc = np.searchsorted(first, at, "right") - 1
                 found.append((h, keys[a + doc]))
                 size += len(h)
@@ -173,15 +205,22 @@ def repeated_anchors(rows: DataFrame, scheme: Scheme) -> DataFrame:
         again[back[len(h) :]] = True
         again |= times > 1
         keep = again[back[: len(h)]]
-        heavy = values[weight > HEAVY]
-        out = [(key, c.tobytes(), b"") for key, (c,) in by_key(np.concatenate((k[keep], sure_k)), np.concatenate((h[keep], sure_h)))]
-        out += [(0, b"", pa.array(heavy).to_numpy().tobytes() + weight[weight > HEAVY].tobytes())] * bool(len(heavy))
-        for a in range(0, len(out), 20_000):
-            x, y, z = zip(*out[a : a + 20_000], strict=True)
+        heavy = weight > HEAVY
+        k, h = np.concatenate((k[keep], sure_k)), np.concatenate((h[keep], sure_h))
+        yield from deal(key_buckets(k, buckets), {"k": k, "h": h})
+        if heavy.any():
+            yield packed_rows([0], {"k": [b""], "h": [b""]}, {"heavy": [values[heavy].tobytes() + weight[heavy].tobytes()]})
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (k, h), (heavy,) = unpack(batches, {"k": np.int64, "h": U}, ["heavy"])
+        out = [(key, c.tobytes(), b"") for key, (c,) in by_key(k, h)] + [(0, b"", x) for x in heavy]
+        for a in range(0, len(out), 5_000):
+            x, y, z = zip(*out[a : a + 5_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.binary()), pa.array(z, pa.binary())], ["key", "anchors", "heavy"])
 
     packed = rows.select("key", "text").mapInArrow(gather, "bucket int, h binary, k binary, many binary, count binary, sure_h binary, sure_k binary")
-    return packed.repartition(n, "bucket").mapInArrow(match, "key long, anchors binary, heavy binary")
+    found = packed.repartition(n, "bucket").mapInArrow(match, "bucket int, k binary, h binary, heavy binary")
+    return found.repartition(n, "bucket").mapInArrow(regroup, "key long, anchors binary, heavy binary")
 
 
 def heavy_anchors(found: DataFrame, n_anchors: int) -> np.ndarray:
@@ -194,6 +233,7 @@ def heavy_anchors(found: DataFrame, n_anchors: int) -> np.ndarray:
     return np.sort(np.concatenate(out))
 
 
+#: Columns of a run of windows below one anchor.
 RUN = [("h", U), ("key", np.int64), ("ord", np.int64), ("start", np.uint32), ("n", np.uint16), ("twice", np.bool_)]
 
 
@@ -232,7 +272,7 @@ Solver = Callable[[Runs, Runs], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver, first_wins: bool) -> tuple[DataFrame, DataFrame]:
-    """(key, ranges array<binary>) with the pairs [a, b) of window starts that solve picks, and (key, least, copies).
+    """(key, ranges binary) with the pairs [a, b) of window starts that solve picks, and (key, least, copies).
 
     solve(runs, solos) returns keys, starts and ends. first_wins: of equal windows, the one that comes first by (ord, key,
     start) stays; else all of them are picked. Texts with copies are treated as their first copy.
@@ -244,93 +284,83 @@ def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver, first_wins:
     found = through_table(repeated_anchors(rows, scheme), "anchors")
     n_anchors = found.select(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 8
     heavy = heavy_anchors(found, n_anchors)
-    again = found.where(F.octet_length("anchors") > 0).groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
-    again = again.join(copies, "key")
+    again = found.where(F.octet_length("anchors") > 0).select("key", "anchors").join(copies.select("key", "least"), "key")
+    packed = {**{f"r_{x}": kind for x, kind in RUN}, "body": np.dtype(scheme.code), **{f"s_{x}": kind for x, kind in RUN}, "k": np.int64, "a": np.uint32, "z": np.uint32}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         parts: list[Runs] = []
         solos: list[Runs] = []
+        held: list[np.ndarray] = []  # the chunks' units; body of a run in parts: where its own begin
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            out: dict[int, list[bytes]] = {}
-            empty = [b""] * (2 * len(RUN) + 1)
+            out: dict[int, dict[str, bytes]] = {}
             sure: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for at, group, units in ((0, join_runs(parts, scheme.code), scheme.length - 1), (len(RUN), join_runs(solos, scheme.code), 0)):
+            units = np.concatenate(held) if held else np.zeros(0, scheme.code)
+            for name, group in (("r", join_runs([g for g, _ in parts], "<i8")), ("s", join_runs(solos, "<i8"))):
                 if not len(group.h):
                     continue
-                length = group.n.astype(np.int64) + units if at == 0 else np.zeros(len(group.h), np.int64)
+                code = np.concatenate([c for _, c in parts]) if name == "r" else group.h
                 # one of equal runs is sent: the first of them
-                code = group.h.copy()
-                if at == 0:
-                    body = mix(group.body.astype(U) + U(1))
-                    code = mix(code) ^ _segment_hash(body, length) ^ length.astype(U)
                 order = np.lexsort((group.start, group.key, group.ord, code))
                 new = np.concatenate(([True], code[order][1:] != code[order][:-1]))
                 count = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
-                rest = order[~new]
-                if not first_wins:
-                    rest = order[np.repeat(count > 1, count)]
-                sure.append((group.key[rest], group.start[rest], group.n[rest]))
+                rest = order[~new] if first_wins else order[np.repeat(count > 1, count)]
+                sure.append((group.key[rest], group.start[rest], group.start[rest] + group.n[rest]))
                 group.twice[order[new]] = count > 1
                 own = order[new]
-                bucket = (mix(group.h[own]) % U(buckets)).astype(np.int64)
-                for b, (i,) in _split(bucket, own):
-                    g = group.take(i, length)
-                    got = out.setdefault(b, list(empty))
-                    got[at : at + len(RUN)] = [getattr(g, name).tobytes() for name, _ in RUN]
-                    if at == 0:
-                        got[-1] = g.body.tobytes()
-            names = [*(f"r_{x}" for x, _ in RUN), *(f"s_{x}" for x, _ in RUN), "body"]
-            items = list(out.items())
-            for a in range(0, len(items), 64):
-                few = items[a : a + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in few], pa.int32()), *(pa.array([c[i] for _, c in few], pa.binary()) for i in range(len(names))), pa.nulls(len(few), pa.int64()), pa.nulls(len(few), pa.binary())], ["bucket", *names, "key", "sure"])
+                for b, (i,) in _split((mix(group.h[own]) % U(buckets)).astype(np.int64), own):
+                    got = out.setdefault(b, {})
+                    got |= {f"{name}_{x}": getattr(group, x)[i].tobytes() for x, _ in RUN}
+                    if name == "r":
+                        got["body"] = units[spread(group.body[i], group.n[i].astype(np.int64) + scheme.length - 1)].tobytes()
             if sure:
-                k, s, m = (np.concatenate(x) for x in zip(*sure, strict=True))
-                done = [(key, np.stack((x.astype(np.uint32), (x + y).astype(np.uint32)), 1).tobytes()) for key, (x, y) in by_key(k, s, m)]
-                for a in range(0, len(done), 10_000):
-                    few = done[a : a + 10_000]
-                    where = [int(x) for x in mix(np.array([d[0] for d in few], np.int64).view(U)) % U(buckets)]
-                    yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *(pa.nulls(len(few), pa.binary()) for _ in names), pa.array([d[0] for d in few], pa.int64()), pa.array([d[1] for d in few], pa.binary())], ["bucket", *names, "key", "sure"])
-            parts.clear()
-            solos.clear()
-            seen.clear()
+                cols = [np.concatenate(x) for x in zip(*sure, strict=True)]
+                for b, (k, a, z) in _split(key_buckets(cols[0], buckets), *cols):
+                    out.setdefault(b, {}).update(k=k.tobytes(), a=a.astype(np.uint32).tobytes(), z=z.astype(np.uint32).tobytes())
+            items = list(out.items())
+            for a in range(0, len(items), 32):
+                few = items[a : a + 32]
+                yield packed_rows([b for b, _ in few], {c: [x.get(c) for _, x in few] for c in packed}, {})
+            for x in (parts, solos, held, seen):
+                x.clear()
 
         for b in batches:
             b = _new_texts(b, seen)
             keys, order, lists = b.column("key").to_numpy(), b.column("least").to_numpy(), b.column("anchors")
             for a, z, buf, offs in text_chunks(b.column("text")):
                 units, first = scheme.units(buf, offs)
-                low, _, _ = scheme.lowest(units, first)
-                wanted = np.concatenate([np.frombuffer(x, U) for one in lists[a:z].to_pylist() for x in one] or [np.zeros(0, U)])
-                hit = np.isin(low, wanted) & (low != 0)
-                if not hit.any():
+                low = scheme.lowest(units, first)
+                if not len(low):
                     continue
                 doc = np.repeat(np.arange(z - a), np.diff(first))[: len(low)]
-                cut = np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]) | (hit[1:] != hit[:-1])))
-                begin = np.flatnonzero(cut)
+                begin = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))))
                 long = np.diff(np.concatenate((begin, [len(low)])))
-                begin, long = begin[hit[begin]], long[hit[begin]]
+                wanted = np.frombuffer(b"".join(lists[a:z].to_pylist()), U)
+                hit = np.isin(low[begin], wanted) & (low[begin] != 0)
+                begin, long = begin[hit], long[hit]
+                if not len(begin):
+                    continue
                 pieces = -(-long // scheme.width)  # longer runs come from periodic text
                 begin, step = np.repeat(begin, pieces), np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 long = np.minimum(np.repeat(long, pieces) - step * scheme.width, scheme.width)
                 begin = begin + step * scheme.width
                 d = doc[begin]
-                whole = Runs(low[begin], keys[a + d], order[a + d], (begin - first[d]).astype(np.uint32), long.astype(np.uint16), np.zeros(len(begin), bool), np.zeros(0, scheme.code))
+                base = sum(map(len, held))
+                whole = Runs(low[begin], keys[a + d], order[a + d], (begin - first[d]).astype(np.uint32), long.astype(np.uint16), np.zeros(len(begin), bool), base + begin)
                 is_heavy = np.isin(whole.h, heavy)
                 if is_heavy.any():
                     w = gram_hashes(units, scheme.length, scheme.base)
                     at = spread(begin[is_heavy], long[is_heavy])
                     d = doc[at]
-                    solos.append(Runs(mix(w[at] ^ low[at]), keys[a + d], order[a + d], (at - first[d]).astype(np.uint32), np.ones(len(at), np.uint16), np.zeros(len(at), bool), np.zeros(0, scheme.code)))
-                    size += 32 * len(at)
+                    solos.append(Runs(mix(w[at] ^ low[at]), keys[a + d], order[a + d], (at - first[d]).astype(np.uint32), np.ones(len(at), np.uint16), np.zeros(len(at), bool), np.zeros(len(at), np.int64)))
+                    size += 40 * len(at)
                 own = np.flatnonzero(~is_heavy)
-                codes = scheme.codes(units, buf)
-                body = codes[spread(begin[own], long[own] + scheme.length - 1)]
-                parts.append(Runs(*(getattr(whole, name)[own] for name, _ in RUN), body))
-                size += body.nbytes + 32 * len(own)
+                sums = prefix(units, scheme.base)
+                parts.append((Runs(*(getattr(whole, x)[own] for x in (*(x for x, _ in RUN), "body"))), span_hash(sums, begin[own], begin[own] + long[own] + scheme.length - 1, scheme.base)))
+                held.append(scheme.codes(units, buf))
+                size += held[-1].nbytes + 48 * len(own)
             if size >= FLUSH_BYTES:
                 yield from flush()
                 size = 0
@@ -338,38 +368,40 @@ def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver, first_wins:
             yield from flush()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [*RUN, *RUN, ("body", np.dtype(scheme.code))]
-        names = [*(f"r_{x}" for x, _ in RUN), *(f"s_{x}" for x, _ in RUN), "body"]
-        cols: list[list[np.ndarray]] = [[] for _ in names]
-        for b in batches:
-            plain = b.column("key").is_null().to_pylist()
-            if not all(plain):
-                own = b.filter(b.column("key").is_valid())
-                yield pa.RecordBatch.from_arrays([own.column("key"), own.column("sure")], ["key", "ranges"])
-            for i, (name, (_, kind)) in enumerate(zip(names, kinds, strict=True)):
-                cols[i] += [np.frombuffer(x, kind) for x in b.column(name).to_pylist() if x]
-        if not cols[0] and not cols[len(RUN)]:
-            return
-        full = [np.concatenate(c) if c else np.zeros(0, kind) for c, (_, kind) in zip(cols, kinds, strict=True)]
-        cols.clear()
-        normal, solo = Runs(*full[: len(RUN)], full[-1]), Runs(*full[len(RUN) : -1], full[-1][:0])
+        full, _ = unpack(batches, packed)
+        k, a, z = full[-3:]
+        normal, solo = Runs(*full[: len(RUN) + 1]), Runs(*full[len(RUN) + 1 : -3], np.zeros(0, np.uint8))
         normal, solo = _once(normal, normal.n.astype(np.int64) + scheme.length - 1), _once(solo, np.zeros(len(solo.h), np.int64))
-        k, s, e = solve(normal, solo)
-        out = [(key, np.stack((x.astype(np.uint32), y.astype(np.uint32)), 1).tobytes()) for key, (x, y) in by_key(k, s, e)]
-        for a in range(0, len(out), 10_000):
-            x, y = zip(*out[a : a + 10_000], strict=True)
+        if first_wins:
+            normal, more = _first_only(normal, scheme)
+            k, a, z = (np.concatenate(x) for x in zip((k, a, z), more, strict=True))
+        found = solve(normal, solo)
+        k, a, z = (np.concatenate(x) for x in zip((k, a, z), found, strict=True))
+        yield from deal(key_buckets(k, buckets), {"k": k, "a": a.astype(np.uint32), "z": z.astype(np.uint32)}, ())
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (k, a, z), _ = unpack(batches, {"k": np.int64, "a": np.uint32, "z": np.uint32})
+        out = [(key, np.stack(x, 1).tobytes()) for key, x in by_key(k, a, z)]
+        for i in range(0, len(out), 5_000):
+            x, y = zip(*out[i : i + 5_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.binary())], ["key", "ranges"])
 
-    schema = ", ".join(["bucket int", *(f"r_{x} binary" for x, _ in RUN), *(f"s_{x} binary" for x, _ in RUN), "body binary", "key long", "sure binary"])
-    sent = rows.join(again, "key").select("doc_id", "ord", "key", "text", "least", "anchors").mapInArrow(send, schema)
-    ranges = sent.repartition(n, "bucket").mapInArrow(answer, "key long, ranges binary")
-    return ranges.groupBy("key").agg(F.collect_list("ranges").alias("ranges")), copies
+    sent = rows.join(again, "key").select("doc_id", "ord", "key", "text", "least", "anchors").mapInArrow(send, ", ".join(["bucket int", *(f"{x} binary" for x in packed)]))
+    ranges = sent.repartition(n, "bucket").mapInArrow(answer, "bucket int, k binary, a binary, z binary")
+    return ranges.repartition(n, "bucket").mapInArrow(regroup, "key long, ranges binary"), copies
 
 
-def _segment_hash(values: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each segment; segments lie side by side and have units."""
+def _first_only(r: Runs, scheme: Scheme) -> tuple[Runs, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs with equal units the first, and the ranges of the others."""
+    if not len(r.h):
+        return r, (r.key, r.start, r.start)
+    size = r.n.astype(np.int64) + scheme.length - 1
     at = np.cumsum(size) - size
-    return mix(np.add.reduceat(values * mix((np.arange(len(values)) - np.repeat(at, size)).astype(U) + U(77)), at))
+    code = span_hash(prefix(BYTE[r.body] if scheme.unit == "byte" else mix(r.body.astype(U) + U(1)), scheme.base), at, at + size, scheme.base)
+    order = np.lexsort((r.start, r.key, r.ord, code))
+    new = np.concatenate(([True], code[order][1:] != code[order][:-1]))
+    rest = order[~new]
+    return r.take(order[new], size), (r.key[rest], r.start[rest], r.start[rest] + r.n[rest])
 
 
 def _once(r: Runs, size: np.ndarray) -> Runs:
@@ -395,11 +427,11 @@ def with_ranges(rows: DataFrame, ranges: DataFrame, copies: DataFrame) -> DataFr
     return rows.join(facts, "key", "left").select("doc_id", "ord", "key", "text", "least", "copies", "ranges")
 
 
-def cover(ranges: list[bytes] | None, length: int, n: int) -> np.ndarray:
+def cover(ranges: bytes | None, length: int, n: int) -> np.ndarray:
     """Units of a document of n units that windows starting in the ranges cover."""
     edge = np.zeros(n + 1, np.int32)
     if ranges:
-        pairs = np.concatenate([np.frombuffer(x, np.uint32) for x in ranges]).astype(np.int64).reshape(-1, 2)
+        pairs = np.frombuffer(ranges, np.uint32).astype(np.int64).reshape(-1, 2)
         np.add.at(edge, pairs[:, 0], 1)
         np.add.at(edge, pairs[:, 1] - 1 + length, -1)
     return np.cumsum(edge[:-1]) > 0
