@@ -230,3 +230,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded(spark)
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (text) that no test item contaminates, with all their columns."""
+    for items in blocks(benchmark):
+        chosen = rare(items, document_counts(docs, items))
+
+        def keep(batches: Iterator[pa.RecordBatch], items: Items = chosen) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                good = np.ones(b.num_rows, bool)
+                for a, _, buf, offs in plain_chunks(b.column("text")):
+                    for d, _, score, _, _ in best_alignments(items, *plain_words(buf, offs)):
+                        good[a + d] &= score < threshold
+                yield b.filter(pa.array(good))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

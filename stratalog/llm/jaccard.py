@@ -435,7 +435,7 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles, component_id for each row of docs (doc_id, text)."""
+    """doc_id, key, n_shingles, label, component_id for each row of docs (doc_id, text); label: the same for all texts of a component."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), text.alias("text"))
     sizes = measured(rows)
@@ -445,8 +445,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     labels = through_table(components(links.union(more)), "jaccard-labels")
     named = sizes.where("part is null").join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", "n", F.coalesce("label", "key").alias("label"))
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.join(least, "label", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "label", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) that come first in their component, by doc_id (null before all) and then a hash of the text; of equal rows one."""
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord")
+    found = near_copies(docs).select(order, F.col("key").alias("_key"), "label", (F.col("n_shingles") > 0).alias("full"))
+    first = found.where("full").groupBy("label").agg(F.min(F.struct("_ord", "_key")).alias("first")).select("first._ord", "first._key")
+    first = first.union(found.where("not full").select("_ord", "_key")).distinct()
+    rows = docs.withColumn("_ord", order).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return rows.join(first, ["_ord", "_key"]).dropDuplicates(["_ord", "_key"]).select(*docs.columns)

@@ -54,24 +54,32 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, source, size) with place: 1, 2, ... within the source, longest first."""
-    order = [F.col("size").desc(), F.col("doc_id").asc_nulls_last()]
+    """rows (doc_id, key, source, size) with place: 1, 2, ... within the source, longest first."""
+    order = [F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("key")]
     parted = through_table(rows.repartitionByRange(partitions(rows.sparkSession), F.col("source").asc_nulls_last(), *order).withColumn("part", F.spark_partition_id()), "mix-ranges")
     before = parted.groupBy("source", "part").count()
     before = before.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("shift"))
     inner = parted.withColumn("place", F.row_number().over(Window.partitionBy("part", "source").orderBy(*order)))
-    return inner.join(before, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", (F.col("place") + F.col("shift")).alias("place"))
+    return inner.join(before, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "key", "source", "size", (F.col("place") + F.col("shift")).alias("place"))
 
 
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for docs (doc_id, text, source)."""
-    rows = through_table(docs.select("doc_id", "source", word_count("text").alias("size")), "mix-sizes")
+    """doc_id, key, source, size, source_size, target, copies, taken for docs (doc_id, text, source); key: a hash of the text."""
+    rows = through_table(docs.select("doc_id", F.xxhash64("text").alias("key"), "source", word_count("text").alias("size")), "mix-sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s")
     out = ranked(rows).join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate, u = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), offset(F.col("source"), seed)
     out = out.withColumn("rate", rate).withColumn("u", u)
     copies = F.least(F.floor(F.col("rate") * F.col("place") + F.col("u")) - F.floor(F.col("rate") * (F.col("place") - 1) + F.col("u")), F.lit(MOST)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def copies_of(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """Each row of docs as often as the mix takes it, with copy: 1, 2. (doc_id, text, source) should tell rows apart."""
+    taken = mixed(docs, seed).where("copies > 0").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord"), F.col("key").alias("_key"), F.col("source").alias("_source"), "copies")
+    rows = docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_key", F.xxhash64("text"))
+    both = rows.join(taken.withColumnRenamed("copies", "_copies"), ["_ord", "_key"]).where(F.col("source").eqNullSafe(F.col("_source")))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

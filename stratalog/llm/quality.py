@@ -178,6 +178,17 @@ def score(docs: DataFrame, model: GatedAttention, keep: list[str] = ("doc_id",))
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(scored, schema)
 
 
+def good(docs: DataFrame, model: GatedAttention, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs (text) with a score of threshold or more, with all their columns."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = np.concatenate([model.scores(*encode(buf, offs)) for _, _, buf, offs in text_chunks(b.column("text"))] or [np.zeros(0)])
+            yield b.filter(pa.array(own >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
