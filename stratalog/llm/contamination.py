@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jaccard import merged
+from .jaccard import lookup, merged
 from .kernel import gram_hashes, inside, spans_by, text_chunks, word_hashes
 from .shared import bounded
 
@@ -91,15 +91,6 @@ def rare(items: Items, count: np.ndarray) -> Items:
     return Items(items.ids, items.words, items.first, items.seeds[seeds], np.concatenate((begin, [int(keep.sum())])), items.item[keep], items.position[keep])
 
 
-def lookup(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where values occur in sorted_, and which of them do."""
-    if not len(sorted_):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
-    hit = np.flatnonzero(sorted_[at] == values)
-    return at[hit], hit
-
-
 def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
     """Documents that have each seed."""
     width = 1 << 16

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import U, WORD_BASE, gram_hashes, inside, mix, prefix, span_hash, text_chunks, word_hashes, words
-from .repeats import _new_texts, _split, by_key, spread
+from .repeats import _new_texts, _split, by_key, deal, spread
 from .shared import bounded, partitions, through_table
 
 WORDS, PERCENT = 5, 80
@@ -51,6 +51,15 @@ VERIFY = 16.0
 FLUSH, PAIRS, SPLIT, BLOOM_BITS = 1_000_000, 2_000_000, 256, 26
 
 
+def lookup(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where values occur in sorted_, and which of them do."""
+    if not len(sorted_):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    hit = np.flatnonzero(sorted_[at] == values)
+    return at[hit], hit
+
+
 def lower(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
 
@@ -98,7 +107,7 @@ def measured(docs: DataFrame) -> DataFrame:
             sizes = []
             for _, _, buf, offs in text_chunks(b.column("text")):
                 g, first = shingles(buf, offs)
-                cells += np.bincount((g >> U(64 - CELLS_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(cells, (g >> U(64 - CELLS_BITS)).astype(np.int64), np.uint32(1))
                 sizes.append(np.diff(first))
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "key", "n", "part", "cells"])
@@ -216,16 +225,30 @@ def posting_lists(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     return through_table(packed.mapInArrow(collect, "row long, token binary, key binary, n binary, l binary, central binary"), "jaccard-lists")
 
 
+def least_matches(na: np.ndarray, nb: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Tokens that the prefixes of linked sets have in common at least.
+
+    A pair that links shares t = ceil(p (na + nb) / (1 + p)) tokens, p = PERCENT%. All but n - prefix of these lie in a set's
+    prefix, and the rarest of them lie in both.
+    """
+    share = -(-PERCENT * (na + nb) // (100 + PERCENT))
+    own = lambda n, l: share - -(-PERCENT * n // 100) + l  # noqa: E731, E741
+    return np.maximum(1, np.minimum(own(na, la.astype(np.int64)), own(nb, lb.astype(np.int64)))).astype(np.uint32)
+
+
 class Pairs:
     """Pairs of texts with the matches counted so far; held merged."""
 
     def __init__(self, buckets: int):
         self.buckets, self.parts, self.size = buckets, [], 0
 
-    def add(self, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, need: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Pairs whose sizes allow a link, each matched once more."""
-        ok = 100 * np.minimum(na, nb).astype(np.int64) >= PERCENT * np.maximum(na, nb).astype(np.int64)
-        a, b, need = a[ok], b[ok], need[ok]
+    def add(self, key: np.ndarray, n: np.ndarray, l: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:  # noqa: E741
+        """The pairs (x, y) of postings whose sizes allow a link, each matched once more."""
+        n = n.astype(np.int64)
+        na, nb = n[x], n[y]
+        ok = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+        x, y, na, nb = x[ok], y[ok], na[ok], nb[ok]
+        a, b, need = key[x], key[y], least_matches(na, nb, l[x], l[y])
         self.parts.append((np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.uint32), need))
         self.size += len(a)
         if self.size > PAIRS:
@@ -249,7 +272,7 @@ def merge_pairs(a: np.ndarray, b: np.ndarray, count: np.ndarray, need: np.ndarra
     order = np.lexsort((b, a))
     a, b, count, need = a[order], b[order], count[order], need[order]
     at = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-    return a[at], b[at], np.add.reduceat(count, at), need[at]
+    return a[at], b[at], np.add.reduceat(count, at).astype(np.uint32), need[at]
 
 
 PACKED = "bucket int, a binary, b binary, count binary, need binary"
@@ -261,7 +284,7 @@ def enough(packed: DataFrame, name: str) -> DataFrame:
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            for i, (c, kind) in enumerate((("a", np.int64), ("b", np.int64), ("count", np.uint32), ("need", np.uint8))):
+            for i, (c, kind) in enumerate((("a", np.int64), ("b", np.int64), ("count", np.uint32), ("need", np.uint32))):
                 cols[i] += [np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]
         if cols[0]:
             a, b, count, need = merge_pairs(*(np.concatenate(c) for c in cols))
@@ -285,7 +308,7 @@ def star_pairs(lists: DataFrame) -> DataFrame:
                 head = np.repeat(order[last], np.diff(np.concatenate(([-1], last))))
                 other = head != order
                 head, order = head[other], order[other]
-                yield from pairs.add(key[head], key[order], n[head], n[order], np.minimum(l[head], l[order]))
+                yield from pairs.add(key, n, l, head, order)
         yield from pairs.flush()
 
     return enough(lists.select(*(c for c, _ in LISTS)).mapInArrow(stars, PACKED), "jaccard-stars")
@@ -299,24 +322,40 @@ def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, packed in zip(batch.column("row").to_pylist(), batch.column("key").to_pylist(), strict=True):
-                keys = np.unique(np.frombuffer(packed, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row)), pa.array(keys)], ["row", "node"])
-
-    known = lists.select("row", "key").mapInArrow(members, "row long, node long").join(labels, "node")
-    null = [F.lit(None).cast("binary").alias(c) for c in names]
-    both = lists.select("row", *names, F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("label")).union(known.select("row", *null, "node", "label"))
+            own = [(row, np.unique(np.frombuffer(packed, np.int64))) for row, packed in zip(batch.column("row").to_pylist(), batch.column("key").to_pylist(), strict=True)]
+            if own:
+                node = np.concatenate([k for _, k in own])
+                for b in deal(node % buckets, {"r": np.concatenate([np.full(len(k), r) for r, k in own]), "k": node}, ()):
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.int64())], ["bucket", "r", "k", "node", "label"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, nodes, node, label = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            own = batch.filter(batch.column("node").is_valid())
+            node.append(own.column("node").to_numpy())
+            label.append(own.column("label").to_numpy())
+            for got, c in ((rows, "r"), (nodes, "k")):
+                got += [np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist() if x]
+        r, k, node, label = (np.concatenate(x) for x in (rows, nodes, node, label))
+        order = np.argsort(node)
+        at, hit = lookup(node[order], k)
+        yield from deal(r[hit] % buckets, {"r": r[hit], "k": k[hit], "label": label[order][at]}, ())
+
+    packed = lists.select("row", "key").mapInArrow(members, "bucket int, r binary, k binary, node long, label long")
+    given = labels.select(F.pmod("node", F.lit(buckets)).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("r"), F.lit(None).cast("binary").alias("k"), "node", "label")
+    known = packed.union(given).repartition(n_parts, "bucket").mapInArrow(look_up, "bucket int, r binary, k binary, label binary")
+    null = lambda cols, kind="binary": [F.lit(None).cast(kind).alias(c) for c in cols]
+    both = lists.select(F.pmod("row", F.lit(buckets)).cast("int").alias("bucket"), "row", *names, *null(("r", "k", "label"))).union(known.select("bucket", *null(["row"], "long"), *null(names), "r", "k", "label"))
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        row, node, label = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
-            own = batch.filter(batch.column("node").is_valid())
-            for got, c in ((row, "row"), (node, "node"), (label, "label")):
-                got.append(own.column(c).to_numpy())
-            own = batch.filter(batch.column("node").is_null())
+            for got, c in zip(found, ("r", "k", "label"), strict=True):
+                got += [np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist() if x]
+            own = batch.filter(batch.column("row").is_valid())
             rows += zip(*(own.column(c).to_pylist() for c in ("row", *names)), strict=True)
-        of = dict(by_key(np.concatenate(row), np.concatenate(node), np.concatenate(label)))
+        of = dict(by_key(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)))
         pairs = Pairs(buckets)
         for r, *packed in rows:
             t, key, n, l, _ = (np.frombuffer(x, kind) for x, (_, kind) in zip(packed, LISTS, strict=True))  # noqa: E741
@@ -328,10 +367,10 @@ def cross_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(nodes, key), len(nodes) - 1)
                 group = np.where(nodes[at] == key, marks[at], key)
             for x, y in across(t, group):
-                yield from pairs.add(key[x], key[y], n[x], n[y], np.minimum(l[x], l[y]))
+                yield from pairs.add(key, n, l, x, y)
         yield from pairs.flush()
 
-    return enough(both.repartition(n_parts, "row").mapInArrow(cross, PACKED), "jaccard-cross")
+    return enough(both.repartition(n_parts, "bucket").mapInArrow(cross, PACKED), "jaccard-cross")
 
 
 def across(t: np.ndarray, group: np.ndarray, long: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -351,7 +390,7 @@ def across(t: np.ndarray, group: np.ndarray, long: int = 64) -> Iterator[tuple[n
         own = np.arange(a, a + m)
         values, back, times = np.unique(group[own], return_inverse=True, return_counts=True)
         # each member outside the largest component with all of other components, once
-        place = np.lexsort((own, -times[back]))
+        place = np.lexsort((own, back, -times[back]))
         own, back = own[place], back[place]
         for i in range(int(times.max()), m):
             y = own[:i][back[:i] != back[i]]

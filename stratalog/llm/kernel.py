@@ -17,7 +17,7 @@ TOP = U(0xFFFFFFFFFFFFFFFF)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text handled at once; one longer document is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import pyarrow as pa
 from pyarrow import fs
@@ -28,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded(spark: SparkSession) -> SparkSession:
-    """The session, with batches of bounded size for Python stages."""
+    """The session, with batches of bounded size for Python stages, whose workers find this package."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
     for k, v in BATCH.items():
         spark.conf.set(k, v)
     return spark
