@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import BYTE, BYTE_BASE, U, WORD_BASE, anchors, gram_hashes, inside, mix, prefix, sliding, span_hash, text_chunks, word_hashes, words
+from .kernel import BYTE, BYTE_BASE, CHUNK, U, WORD_BASE, anchors, gram_hashes, inside, mix, prefix, sliding, span_hash, text_chunks, word_hashes, words
 from .shared import partitions, through_table
 
 HEAVY = 20_000
@@ -391,13 +391,24 @@ def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver, first_wins:
     return ranges.repartition(n, "bucket").mapInArrow(regroup, "key long, ranges binary"), copies
 
 
+def _run_hashes(body: np.ndarray, size: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """A hash of the units of each run, by slices that bound what is held beside them."""
+    at, out, a = np.concatenate(([0], np.cumsum(size))), np.zeros(len(size), U), 0
+    while a < len(size):
+        z = max(a + 1, int(np.searchsorted(at, at[a] + (CHUNK >> 1), "right")) - 1)
+        own = body[at[a] : at[z]]
+        sums = prefix(BYTE[own] if scheme.unit == "byte" else mix(own.astype(U) + U(1)), scheme.base)
+        out[a:z] = span_hash(sums, at[a:z] - at[a], at[a + 1 : z + 1] - at[a], scheme.base)
+        a = z
+    return out
+
+
 def _first_only(r: Runs, scheme: Scheme) -> tuple[Runs, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of runs with equal units the first, and the ranges of the others."""
     if not len(r.h):
         return r, (r.key, r.start, r.start)
     size = r.n.astype(np.int64) + scheme.length - 1
-    at = np.cumsum(size) - size
-    code = span_hash(prefix(BYTE[r.body] if scheme.unit == "byte" else mix(r.body.astype(U) + U(1)), scheme.base), at, at + size, scheme.base)
+    code = _run_hashes(r.body, size, scheme)
     order = np.lexsort((r.start, r.key, r.ord, code))
     new = np.concatenate(([True], code[order][1:] != code[order][:-1]))
     rest = order[~new]

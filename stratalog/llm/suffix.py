@@ -31,7 +31,7 @@ from .shared import bounded
 LENGTH = 100
 BYTES = Scheme("byte", LENGTH, 32, "u1")
 #: Bytes of a shard.
-SHARD = 3 << 19
+SHARD = 1 << 20
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
