@@ -113,7 +113,7 @@ def with_next(docs: DataFrame, fold, schema: str, ranges: int | None = None) ->
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("key"))
     n = ranges or 2 * partitions(spark)
-    cuts = np.array(sorted({int(x) for x in rows.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)}), np.int64)
+    cuts = np.array(sorted({int(x) for x in (rows.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [])}), np.int64)
 
     def of(keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(cuts, keys, "right").astype(np.int64)

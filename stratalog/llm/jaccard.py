@@ -438,17 +438,10 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            b = b.filter(pa.array(maybe(wanted, b.column("key").to_numpy())))
-            yield _new_texts(b, seen)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+            b = _new_texts(b.filter(pa.array(maybe(wanted, b.column("key").to_numpy()))), seen)
             for a, z, buf, offs in text_chunks(b.column("text")):
                 g, first = shingles(buf, offs)
-                out = [(x, k, g[i:j].tobytes()) for k, xs, i, j in zip(b.column("key")[a:z].to_pylist(), b.column("groups")[a:z].to_pylist(), first[:-1], first[1:], strict=True) for x in xs]
-                for i in range(0, len(out), 500):
-                    x, k, s = zip(*out[i : i + 500], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(k, pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(s, pa.binary())], ["group", "a", "b", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("key")[a:z], pa.array([g[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["key", "tokens"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -468,8 +461,9 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
-    chosen = docs.select("key", "text").mapInArrow(choose, "key long, text string").join(takers, "key")
-    sent = chosen.mapInArrow(send, "group long, a long, b long, tokens binary").union(placed.select("group", "a", "b", F.lit(None).cast("binary").alias("tokens")))
+    chosen = docs.select("key", "text").mapInArrow(choose, "key long, tokens binary").join(takers, "key")
+    sent = chosen.select(F.explode("groups").alias("group"), F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
+    sent = sent.union(placed.select("group", "a", "b", F.lit(None).cast("binary").alias("tokens")))
     return through_table(sent.repartition(partitions(docs.sparkSession), "group").mapInArrow(compare, "a long, b long"), name)
 
 
@@ -497,5 +491,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = near_copies(docs).select(order, F.col("key").alias("_key"), "label", (F.col("n_shingles") > 0).alias("full"))
     first = found.where("full").groupBy("label").agg(F.min(F.struct("_ord", "_key")).alias("first")).select("first._ord", "first._key")
     first = first.union(found.where("not full").select("_ord", "_key")).distinct()
-    rows = docs.withColumn("_ord", order).withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return rows.join(first, ["_ord", "_key"]).dropDuplicates(["_ord", "_key"]).select(*docs.columns)
+    rows = docs.select(order, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), F.struct(*docs.columns).alias("_row"))  # one column, whatever the names
+    return rows.join(first, ["_ord", "_key"]).dropDuplicates(["_ord", "_key"]).select("_row.*")

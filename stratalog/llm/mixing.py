@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     s = s.withColumn("weight_from", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("level", (F.col("total") * F.lit(share) - F.col("capped_before")) / F.col("weight_from"))
     s = s.withColumn("above", F.col("cap") > F.col("level") * F.col("weight"))
-    s = s.withColumn("level", F.min_by(F.when(F.col("above"), F.col("level")), F.when(F.col("above"), F.col("cap") / F.col("weight"))).over(everything))
+    s = s.withColumn("level", F.min_by("level", F.when(F.col("above"), F.struct(F.col("cap") / F.col("weight"), "place"))).over(everything))
     return s.select("source", "source_size", F.when(F.col("above"), F.col("level") * F.col("weight")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
@@ -77,9 +77,10 @@ def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def copies_of(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """Each row of docs as often as the mix takes it, with copy: 1, 2. (doc_id, text, source) should tell rows apart."""
     taken = mixed(docs, seed).where("copies > 0").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord"), F.col("key").alias("_key"), F.col("source").alias("_source"), "copies")
-    rows = docs.withColumn("_ord", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_key", F.xxhash64("text"))
-    both = rows.join(taken.withColumnRenamed("copies", "_copies"), ["_ord", "_key"]).where(F.col("source").eqNullSafe(F.col("_source")))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("copy"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord"), F.xxhash64("text").alias("_key"), F.struct(*docs.columns).alias("_row"))
+    both = rows.join(taken.withColumnRenamed("copies", "_copies"), ["_ord", "_key"]).where(F.col("_row.source").eqNullSafe(F.col("_source")))
+    number = next(name for name in ("copy", "copy_number", "_copy_number") if name not in docs.columns)
+    return both.select("_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias(number))
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -11,10 +12,19 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Python workers give freed column memory back at once instead of keeping it beside the JVM's.
-pa.set_memory_pool(pa.system_memory_pool())
+
+
+def _give_back() -> None:
+    """Python workers return freed memory to the system at once instead of keeping it beside the JVM's."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if mallopt := getattr(ctypes.CDLL(None), "mallopt", None):  # glibc
+        for option, value in ((-3, 16 << 20), (-1, 24 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            mallopt(option, value)
+
+
+_give_back()
 #: Bounds of what a Python worker holds of its input at once.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
