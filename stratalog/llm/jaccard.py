@@ -85,17 +85,27 @@ def shingles(buf: np.ndarray, offs: np.ndarray, n: int = WORDS) -> tuple[np.ndar
 
 
 def merged(parts: DataFrame, kind: str, combine, finish) -> list[bytes]:
-    """Rows (part, cells) of equal length combined by part; one row a part comes to the driver."""
+    """Rows (part, cells) of equal length combined by part; one row a part comes to the driver.
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have: dict[int, np.ndarray] = {}
-        for b in batches:
-            for p, x in zip(b.column("part").to_pylist(), b.column("cells").to_pylist(), strict=True):
-                x = np.frombuffer(x, kind)
-                have[p] = combine(have[p], x) if p in have else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([finish(x).tobytes() for x in have.values()], pa.binary())], ["part", "cells"])
-
-    return [r.cells for r in sorted(parts.select("part", "cells").repartition(partitions(parts.sparkSession), "part").mapInArrow(merge, "part int, cells binary").collect())]
+    Where there are very many tasks, each part is combined in groups of them first.
+    """
+    n = partitions(parts.sparkSession)
+
+    def by_part(last: bool):
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            have: dict[int, np.ndarray] = {}
+            for b in batches:
+                for p, x in zip(b.column("part").to_pylist(), b.column("cells").to_pylist(), strict=True):
+                    x = np.frombuffer(x, kind)
+                    have[p] = combine(have[p], x) if p in have else x
+            yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([(finish(x) if last else x).tobytes() for x in have.values()], pa.binary())], ["part", "cells"])
+
+        return merge
+
+    rows = parts.select("part", "cells")
+    if (groups := n // 64) > 1:
+        rows = rows.withColumn("task", F.pmod(F.spark_partition_id(), F.lit(groups))).repartition(n, "part", "task").select("part", "cells").mapInArrow(by_part(False), "part int, cells binary")
+    return [r.cells for r in sorted(rows.repartition(min(n, 64), "part").mapInArrow(by_part(True), "part int, cells binary").collect())]
 
 
 def measured(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import os
 import tempfile
@@ -49,8 +51,21 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_made: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A name in the shared folder; what is there goes when the driver's process ends."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@atexit.register
+def _clear() -> None:
+    for at in _made:
+        with contextlib.suppress(OSError):
+            fs_, path = filesystem(at)
+            fs_.delete_dir(path)
 
 
 def through_table(df: DataFrame, name: str) -> DataFrame:
