@@ -276,7 +276,7 @@ SQL: dict[str, str] = {
   SELECT batch, min(lsn) AS start_lsn, max(lsn) AS end_lsn, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM fold GROUP BY batch""",
     "w7_flush_entries": f"WITH {LOG}, own AS (SELECT * FROM pts WHERE layer = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1) SELECT op, key, e AS \"end\", value, lsn FROM own UNION ALL SELECT op, key, e, value, lsn FROM log WHERE layer = 1 AND op = 2",
     "w10_run_properties": f"WITH {LOG}, {PROPS} SELECT * FROM props",
-    "m14_engine_stats": f"WITH {LOG}, {PROPS}, own AS (SELECT * FROM props WHERE run_id IN (SELECT run_id FROM log WHERE layer = 2)) SELECT (SELECT count(DISTINCT run_id) FROM log WHERE layer = 1) AS frozen_count, count(*) AS run_count, CAST(sum(file_size) AS BIGINT) AS total_size, string_agg(CAST(file_size AS VARCHAR), ',' ORDER BY max_lsn DESC) AS sizes FROM own",
+    "m14_engine_stats": f"WITH {LOG}, {PROPS}, own AS (SELECT * FROM props WHERE run_id IN (SELECT run_id FROM log WHERE layer = 2)) SELECT (SELECT count(DISTINCT run_id) FROM log WHERE layer = 1) AS frozen_count, count(*) AS run_count, CAST(coalesce(sum(file_size), 0) AS BIGINT) AS total_size, coalesce(string_agg(CAST(file_size AS VARCHAR), ',' ORDER BY max_lsn DESC), '') AS sizes FROM own",
     "m15_memtable_stats": f"WITH {LOG} SELECT CAST(sum({SIZE}) AS BIGINT) AS size, count(DISTINCT key) FILTER (WHERE op < 2) AS distinct_keys, count(*) FILTER (WHERE op < 2) AS versions, count(*) FILTER (WHERE op = 1) AS tombstones, count(*) FILTER (WHERE op = 2) AS range_tombstones FROM log WHERE layer = 0",
     "c1_size_tiers": f"""WITH RECURSIVE {LOG}, {PROPS}, o AS (SELECT run_id, file_size, row_number() OVER (ORDER BY file_size, run_id) AS i FROM props),
   fold AS (SELECT i, run_id, file_size < {TIERING.small} AS small, CAST(0 AS BIGINT) AS tier, CAST(1 AS BIGINT) AS n, file_size AS total FROM o WHERE i = 1

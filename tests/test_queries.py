@@ -37,6 +37,7 @@ def test_run_scan_pushes_key_bounds(spark, tmp_path):
     from tests.test_engine import make, put
 
     assert write_run(make(spark, [put(b"k%d" % i, b"v", i) for i in range(1, 50)]), str(tmp_path / "r"))["record_count"] == 49
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     bounded = scan.within(read_run(spark, str(tmp_path / "r"), 1), bytearray(b"k1"), bytearray(b"k2")).where("op < 2")
     plan = bounded._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
