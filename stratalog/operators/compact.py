@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import age_seconds
 from .flush import flush_entries
 from .log import DELETE, PUT, RANGE_DELETE, points, ranges
-from .resolve import covering, visible
+from .resolve import FEW, _bucket, _cuts, covering, latest, visible
 
 
 @dataclass(frozen=True)
@@ -104,29 +104,22 @@ def droppable_points(target: DataFrame, others: DataFrame) -> DataFrame:
     tombs = points(target).where(F.col("op") == DELETE)
     old = _older(points(others).select("key", "lsn", "run_id"), "old")
     out = tombs.join(old, (F.col("key") == F.col("o_key")) & (F.col("o_lsn") < F.col("lsn")) & (F.col("run_id") != F.col("o_run_id")), "left_anti")
-    spans = ranges(others).select("start", "end", F.col("lsn").alias("s_lsn"), F.col("run_id").alias("s_run"))
-    hidden = out.select("key", "lsn", "run_id").join(_covering_pairs(out, spans), ["key", "lsn", "run_id"], "left_anti")
-    return out.join(hidden.select("key", "lsn"), ["key", "lsn"], "left_semi")
+    return _not_over_older(out, ranges(others).select("start", "end", F.col("lsn").alias("s_lsn"), F.col("run_id").alias("s_run")))
 
 
-def _covering_pairs(tombs: DataFrame, spans: DataFrame) -> DataFrame:
-    """key, lsn, run_id of the tombs that an older span of another run covers, found through the buckets of covering()."""
-    from .resolve import FEW, _bucket, _cuts
-
+def _not_over_older(tombs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The tombs that no older span of another run covers, found through the buckets of covering()."""
     n = spans.count()
     hit = (F.col("key") >= F.col("start")) & (F.col("key") < F.col("end")) & (F.col("s_lsn") < F.col("lsn")) & (F.col("s_run") != F.col("run_id"))
-    rows = tombs.select("key", "lsn", "run_id")
     if n <= FEW:
-        return rows.join(F.broadcast(spans), hit, "left_semi")
+        return tombs.join(F.broadcast(spans), hit, "left_anti")  # FEW rows at most
     cuts = _cuts(spans, n)
     placed = spans.withColumn("s_bucket", F.explode(F.sequence(_bucket(F.col("start"), cuts), _bucket(F.col("end"), cuts))))
-    return rows.withColumn("bucket", _bucket(F.col("key"), cuts)).join(placed, (F.col("bucket") == F.col("s_bucket")) & hit, "left_semi").select("key", "lsn", "run_id")
+    return tombs.withColumn("bucket", _bucket(F.col("key"), cuts)).join(placed, (F.col("bucket") == F.col("s_bucket")) & hit, "left_anti").drop("bucket")
 
 
 def droppable_ranges(target: DataFrame, others: DataFrame) -> DataFrame:
     """Range deletes of target (start, end, lsn, run_id) that hide nothing: no older point of another run and no older put of their own run in the range."""
-    from .resolve import FEW, _bucket, _cuts
-
     tombs = ranges(target)
     old = points(others).select(F.col("key").alias("o_key"), F.col("lsn").alias("o_lsn"), F.col("run_id").alias("o_run"), F.col("op").alias("o_op"))
     hit = (F.col("o_key") >= F.col("start")) & (F.col("o_key") < F.col("end")) & (F.col("o_lsn") < F.col("lsn")) & ((F.col("o_run") != F.col("run_id")) | (F.col("o_op") == PUT))
@@ -142,10 +135,11 @@ def droppable_ranges(target: DataFrame, others: DataFrame) -> DataFrame:
 
 def tombstone_gc(target: DataFrame, everything: DataFrame) -> DataFrame:
     """The runs in target without the deletes that hide nothing; everything: the whole log, target included."""
-    kept = flush_entries(target)
-    with_run = kept.join(target.select("lsn", "run_id").distinct(), "lsn")
-    gone = droppable_points(with_run, everything).select("lsn").union(droppable_ranges(with_run, everything).select("lsn"))
-    return kept.join(gone, "lsn", "left_anti").select("op", "key", "end", "value", "lsn", "ts")
+    best = latest(points(target).select("key", "op", "value", "lsn", "ts", "run_id")).withColumn("end", F.lit(None).cast(target.schema["end"].dataType))
+    own = ["op", "key", "end", "value", "lsn", "ts", "run_id"]
+    kept = best.select(own).union(target.where(F.col("op") == RANGE_DELETE).select(own))
+    gone = droppable_points(kept, everything).select("lsn").union(droppable_ranges(kept, everything).select("lsn"))
+    return kept.join(gone, "lsn", "left_anti").select(own[:-1])
 
 
 def overlapping_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
@@ -157,4 +151,4 @@ def overlapping_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
 
 #: A strategy turns runs into three rewrites; size tiers are the one there is.
 STRATEGIES: dict[str, dict[str, Callable]] = {"size_tiered": {"minor": minor, "tombstone": tombstone_gc, "major": major}}
-__all__ = ["RANGE_DELETE", "STRATEGIES", "Tiering", "covering", "major", "minor", "pick_tier", "size_tiers", "tombstone_gc"]
+__all__ = ["STRATEGIES", "Tiering", "covering", "major", "minor", "pick_tier", "size_tiers", "tombstone_gc"]
