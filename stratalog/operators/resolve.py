@@ -27,11 +27,15 @@ def _bucket(key: Column, cuts: list) -> Column:
     if not cuts:
         return F.lit(0)
     parts = [cuts[i : i + STEP] for i in range(0, len(cuts), STEP)]
-    below = lambda some: F.size(F.filter(some, lambda x: x <= key))
-    if len(parts) == 1:
-        return below(F.array(*map(F.lit, cuts)))
-    part = below(F.array(*(F.lit(p[0]) for p in parts[1:])))
-    return part * STEP + below(F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), part + 1))
+    below = lambda some, k: F.size(F.filter(some, lambda x: x <= k))
+
+    def search(k: Column) -> Column:
+        if len(parts) == 1:
+            return below(F.array(*map(F.lit, cuts)), k)
+        part = below(F.array(*(F.lit(p[0]) for p in parts[1:])), k)
+        return part * STEP + below(F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), part + 1), k)
+
+    return F.element_at(F.transform(F.array(key), search), 1)  # key is often an expression: evaluated once, not for each cut
 
 
 def _cuts(tombs: DataFrame, n: int) -> list:
