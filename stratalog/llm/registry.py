@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import contamination, fingerprint, jaccard, lines, mixing, quality, substring, suffix, warc
+from . import contamination, fingerprint, jaccard, lines, mixing, quality, secrets, substring, suffix, warc
 
 QUERIES = {
     "op1_substring": substring.op1_substring,
     "op2_quality": quality.op2_quality,
     "op3_fingerprints": fingerprint.op3_fingerprints,
     "op4_suffix": suffix.op4_suffix,
+    "op5_secrets": secrets.op5_secrets,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_mix": mixing.op7_mix,
     "op8_lines": lines.op8_lines,
