@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns a
 again as the next one's docs. All but the last return the columns of documents; further columns pass through.
 
 1. quality: documents that the quality classifier scores below 0.5 go.
-2. lines: repeated runs of lines go, and n_chars follows; documents of which nothing but blanks is left go.
+2. lines: repeated runs of lines go, a line of 32 bytes or more being a run by itself, and n_chars follows; documents of which nothing but blanks is left go.
 3. near copies: of each component of the Jaccard join the document with the least doc_id stays.
 4. benchmark: documents with a passage that aligns with a test item go.
 5. mix: each document comes as often as the mix takes it, with its number as copy.
@@ -33,7 +33,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     # the row travels as one column, whatever its names
-    kept = lines.with_kept_lines(docs.select("doc_id", "text", F.struct(*names).alias("_row")), ["_row"])
+    kept = lines.with_kept_lines(docs.select("doc_id", "text", F.struct(*names).alias("_row")), ["_row"], lines.ALONE)
     kept = kept.where((F.col("n_removed") == 0) | (F.trim(F.translate("kept", "\n", " ")) != ""))
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("_row.text")), "n_chars": F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("_row.n_chars"))}

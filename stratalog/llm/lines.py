@@ -6,6 +6,9 @@ run of WINDOW lines or more that two places share has a fingerprint in both. Fin
 the others the match is extended to both sides over the windows that chose them: a window whose lines stand, in this order,
 earlier too (in a document before, or further up) is repeated. Windows that touch join to runs, and all their lines go.
 
+A line of ``alone`` bytes or more, if given, is a run by itself and goes wherever it stands again, among whatever neighbours. The
+query takes pairs only, as its SQL does; the pipeline gives ``ALONE``.
+
 Documents are ordered by doc_id, null before all, then by a hash of the text.
 
 What is shuffled are hashes of lines; the texts move once, to meet the lines that go. Fingerprints and windows are counted with
@@ -13,8 +16,8 @@ partial aggregates, the earliest place of a window is joined back by a join that
 document is bounded by its own lines.
 
 Defined cases: a null text has no lines and an empty one has one blank line, both are kept as the empty text; rows equal in
-doc_id and text are neither before the other and lose the same lines; documents of fewer than WINDOW lines lose none; a
-document all of whose lines go keeps the empty text; an empty table gives no rows; further columns are ignored. Line hashes
+doc_id and text are neither before the other and lose the same lines; documents of fewer than WINDOW lines lose
+none but lines that are runs by themselves; a document all of whose lines go keeps the empty text; an empty table gives no rows; further columns are ignored. Line hashes
 have 64 bits.
 """
 
@@ -26,40 +29,44 @@ from pyspark.sql import functions as F
 from .shared import through_table
 
 WINDOW = 2
+#: Bytes, without spaces at the ends, from which a line is a run by itself in the pipeline.
+ALONE = 32
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """ord, key, at array<int> and line array<long>: the places and hashes of the lines that aren't blank, of documents with a window."""
+def hashed(docs: DataFrame, alone: int | None = None) -> DataFrame:
+    """ord, key, at array<int>, line array<long> and long array<boolean>: the places, hashes and being a run of the lines that aren't blank, of documents with a window."""
     lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line")))
-    full = F.transform(F.filter(lines, lambda x: x.line != ""), lambda x: F.struct(x.at.alias("at"), F.xxhash64(x.line).alias("line")))
-    rows = docs.select("ord", "key", full.alias("full")).where(F.size("full") >= WINDOW)
-    return rows.select("ord", "key", F.col("full.at").alias("at"), F.col("full.line").alias("line"))
+    own = (lambda x: F.lit(False)) if alone is None else (lambda x: F.octet_length(x) >= alone)
+    full = F.transform(F.filter(lines, lambda x: x.line != ""), lambda x: F.struct(x.at.alias("at"), F.xxhash64(x.line).alias("line"), own(x.line).alias("long")))
+    rows = docs.select("ord", "key", full.alias("full")).where(F.size("full") >= (WINDOW if alone is None else 1))
+    return rows.select("ord", "key", F.col("full.at").alias("at"), F.col("full.line").alias("line"), F.col("full.long").alias("long"))
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """ord, key, start, print, content for each window; print: the fingerprint it chooses; content: a hash of its lines."""
+    """ord, key, start, size, print, content for each window and each line that is a run by itself; print: the fingerprint it chooses; content: a hash of its lines."""
     own = [f"line[i + {k}]" for k in range(WINDOW)]
-    made = f"transform(sequence(0, size(line) - {WINDOW}), i -> struct(i AS start, least({', '.join(own)}) AS print, xxhash64({', '.join(own)}) AS content))"
-    return rows.select("ord", "key", F.expr(f"inline({made})"))
+    made = f"transform(filter(sequence(0, size(line) - 1), i -> i + {WINDOW} <= size(line)), i -> struct(i AS start, {WINDOW} AS size, least({', '.join(own)}) AS print, xxhash64({', '.join(own)}) AS content))"
+    single = "transform(filter(sequence(0, size(line) - 1), i -> long[i]), i -> struct(i AS start, 1 AS size, xxhash64(line[i]) AS print, xxhash64(line[i]) AS content))"
+    return rows.select("ord", "key", F.expr(f"inline(concat({made}, {single}))"))
 
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
-    """ord, key, starts array<int>: the windows of each document that occur earlier."""
+    """ord, key, starts array<struct<start int, size int>>: the windows and lines of each document that occur earlier."""
     w = windows(rows)
     again = w.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
     matched = w.join(again, "print", "left_semi").drop("print")
     earliest = matched.groupBy("content").agg(F.min(F.struct("ord", "key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = matched.join(earliest, "content").where(F.struct("ord", "key", "start") > F.col("first"))
-    return later.groupBy("ord", "key").agg(F.collect_set("start").alias("starts"))
+    return later.groupBy("ord", "key").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
 
 
-def with_kept_lines(docs: DataFrame, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """keep, n_lines, n_removed and kept (text) for each row of docs (doc_id, text)."""
+def with_kept_lines(docs: DataFrame, keep: list[str] = ("doc_id",), alone: int | None = None) -> DataFrame:
+    """keep, n_lines, n_removed and kept (text) for each row of docs (doc_id, text). alone: bytes from which a line is a run by itself."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord"), F.xxhash64(text).alias("_key"), text.alias("_text"))
-    lines = through_table(hashed(rows.select(F.col("_ord").alias("ord"), F.col("_key").alias("key"), F.col("_text").alias("text"))).distinct(), "lines")
+    lines = through_table(hashed(rows.select(F.col("_ord").alias("ord"), F.col("_key").alias("key"), F.col("_text").alias("text")), alone).distinct(), "lines")
     gone = lines.join(repeated_windows(lines), ["ord", "key"])
-    gone = gone.select(F.col("ord").alias("_ord"), F.col("key").alias("_key"), F.array_distinct(F.flatten(F.transform("starts", lambda s: F.slice("at", s + 1, F.lit(WINDOW))))).alias("_gone"))
+    gone = gone.select(F.col("ord").alias("_ord"), F.col("key").alias("_key"), F.array_distinct(F.flatten(F.transform("starts", lambda s: F.slice("at", s["start"] + 1, s["size"])))).alias("_gone"))
     out = rows.join(gone, ["_ord", "_key"], "left").withColumn("_lines", F.split("_text", "\n", -1))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.element_at("_lines", i + 1))
     return out.select(*keep, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n")).alias("kept"))

@@ -54,6 +54,15 @@ def test_stages(spark, tables):
             assert docs.count() == sum(taken.values()) and docs.columns == [*before.columns, "copy_number"]
 
 
+def test_long_lines_repeated_among_others_go(spark):
+    rng = random.Random(12)
+    long, short = prose(rng, 50), "short line"
+    docs = spark.createDataFrame([(i, "\n".join([prose(rng, 9), f"  {long} ", prose(rng, 9), short, prose(rng, 9)])) for i in range(5)] + [(9, long), (10, "own\n" + long + "\n" + long)], "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in pipeline.lines_stage(spark, docs, "").collect()}
+    assert [sum(x.strip() == long for x in got.get(i, [])) for i in (0, 1, 2, 3, 4, 9, 10)] == [1, 0, 0, 0, 0, 0, 0]
+    assert all(short in got[i] and len(got[i]) == 4 + (i == 0) for i in range(5)) and got[10] == ["own"] and 9 not in got
+
+
 def test_run_agrees_with_the_stages(spark, tables):
     out = pipeline.run(spark, tables)
     assert Counter(map(tuple, out.collect())) == Counter(map(tuple, pipeline.run(spark, tables).collect()))
