@@ -2,9 +2,10 @@
 
 A line is what stands between line feeds, without spaces at its ends; blank lines are skipped over and always kept. Of each
 ``WINDOW`` lines side by side the one with the least hash is a fingerprint (winnowing with one line a gram), so that any
-run of WINDOW lines or more that two places share has a fingerprint in both. Fingerprints that occur once are done with. From
-the others the match is extended to both sides over the windows that chose them: a window whose lines stand, in this order,
-earlier too (in a document before, or further up) is repeated. Windows that touch join to runs, and all their lines go.
+run of WINDOW lines or more that two places share has a fingerprint in both. A fingerprint is counted once for each place where its line
+stands, whichever windows choose it, and the windows of those that stand at one place only are done with. The others aren't extended from
+their fingerprints but grouped exactly, by a hash of all their lines: a window whose lines stand, in this order, earlier too (in a
+document before, or further up) is repeated. Windows that touch join to runs, and all their lines go.
 
 A line of ``alone`` bytes or more, if given, is a run by itself and goes wherever it stands again, among whatever neighbours. The
 query takes pairs only, as its SQL does; the pipeline gives ``ALONE``.
@@ -43,18 +44,23 @@ def hashed(docs: DataFrame, alone: int | None = None) -> DataFrame:
 
 
 def windows(rows: DataFrame) -> DataFrame:
-    """ord, key, start, size, print, content for each window and each line that is a run by itself; print: the fingerprint it chooses; content: a hash of its lines."""
+    """ord, key, start, size, print, chosen, content for each window and each line that is a run by itself; print: the fingerprint it chooses; chosen: the first window that chooses this place; content: a hash of its lines."""
     own = [f"line[i + {k}]" for k in range(WINDOW)]
-    made = f"transform(filter(sequence(0, size(line) - 1), i -> i + {WINDOW} <= size(line)), i -> struct(i AS start, {WINDOW} AS size, least({', '.join(own)}) AS print, xxhash64({', '.join(own)}) AS content))"
-    single = "transform(filter(sequence(0, size(line) - 1), i -> long[i]), i -> struct(i AS start, 1 AS size, xxhash64(line[i]) AS print, xxhash64(line[i]) AS content))"
+    at = lambda i: f"{i} + array_position(slice(line, {i} + 1, {WINDOW}), array_min(slice(line, {i} + 1, {WINDOW})))"
+    made = f"transform(filter(sequence(0, size(line) - 1), i -> i + {WINDOW} <= size(line)), i -> struct(i AS start, {WINDOW} AS size, least({', '.join(own)}) AS print, i = 0 OR {at('i')} <> {at('(i - 1)')} AS chosen, xxhash64({', '.join(own)}) AS content))"
+    single = "transform(filter(sequence(0, size(line) - 1), i -> long[i]), i -> struct(i AS start, 1 AS size, xxhash64(line[i]) AS print, true AS chosen, xxhash64(line[i]) AS content))"
     return rows.select("ord", "key", F.expr(f"inline(concat({made}, {single}))"))
 
 
+def repeated_prints(w: DataFrame) -> DataFrame:
+    """print: the fingerprints that stand at two places or more."""
+    return w.where("chosen").groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+
+
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """ord, key, starts array<struct<start int, size int>>: the windows and lines of each document that occur earlier."""
     w = windows(rows)
-    again = w.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    matched = w.join(again, "print", "left_semi").drop("print")
+    matched = w.join(repeated_prints(w), "print", "left_semi").drop("print", "chosen")
     earliest = matched.groupBy("content").agg(F.min(F.struct("ord", "key", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = matched.join(earliest, "content").where(F.struct("ord", "key", "start") > F.col("first"))
     return later.groupBy("ord", "key").agg(F.collect_set(F.struct("start", "size")).alias("starts"))

@@ -118,6 +118,18 @@ def test_lines(docs):
     assert got == want and sum(x[2] for x in got) >= 4
 
 
+def test_fingerprints_count_places(spark):
+    texts = ["b\na\nc\nd\ne", "own\nx\ny", "z\nx\ny\nx\ny", "q\nq\nq\nr"]
+    rows = lines.hashed(spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "ord long, key long, text string"))
+    places = Counter()
+    for r in rows.collect():
+        chosen = {min(range(i, i + lines.WINDOW), key=lambda k, own=r.line: (own[k], k)) for i in range(len(r.line) - lines.WINDOW + 1)}
+        places.update(r.line[k] for k in chosen)
+    w = lines.windows(rows)
+    assert Counter(r["print"] for r in w.collect()) != places == Counter(r["print"] for r in w.where("chosen").collect())
+    assert {r["print"] for r in lines.repeated_prints(w).collect()} == {k for k, n in places.items() if n > 1}
+
+
 def test_lines_of_none(none):
     assert lines.with_kept_lines(none).count() == 0
 
