@@ -1,5 +1,7 @@
 """Key-value workloads A to F as batches: the state that a stream of reads, updates, inserts, scans and read-modify-writes leaves, and what it read.
 
+A scan counts as one read of the key it starts from; the keys of its range are neither read nor counted.
+
 The stream is derived from the events table: one operation an event, its kind drawn by a hash of the event's number, its key
 by the user. Keys are loaded before the first operation. Operations are a log, so the final state is its newest version.
 """
