@@ -4,13 +4,14 @@ Words are runs of letters, digits and non-ASCII characters, lower-cased, so that
 ``SEED``-grams of the test items are counted over the whole corpus, in documents; each item keeps the ``RARE`` share of its
 distinct seeds that fewest documents have (at least ``LEAST``). Where a document has such a seed, the passage around it, as long as the item on either
 side of the diagonal that the seed names, is aligned with the item: match +1, mismatch and gap -0.5, local. The score is
-the best alignment over the item's length, and a document is contaminated by an item at ``THRESHOLD`` or more.
+the best alignment over the item's length, and a document is contaminated by an item at ``THRESHOLD`` or more, or, however long the item,
+by an alignment of ``MATCHED`` or more. Items below SEED words are matched exactly: where all their words stand side by side the score is 1.
 
 Both passes are map-only over the documents, at any size of them: what is broadcast are the test items, in blocks of
 ``BLOCK`` words, each of which passes over the corpus by itself if there are more, and what comes back is one counter for each seed and task. Hot items,
 or a document with very many seeds, cost only their own alignments; seeds on neighbouring diagonals share one passage.
 
-Defined cases: null, empty and very short items (below SEED words) find nothing; null and empty texts are clean; repeated rows
+Defined cases: null and empty items find nothing; null and empty texts are clean; repeated rows
 and items are judged each for itself; a text is read whole, whatever its length; ties between passages go to the first; an
 empty table on either side gives no rows; further columns are ignored.
 """
@@ -32,6 +33,8 @@ from .shared import bounded
 
 SEED, RARE, LEAST, THRESHOLD = 3, 0.75, 12, 0.45
 MISS = 0.5
+#: Alignment score (matched words less MISS for each other step) that is enough in an item of any length.
+MATCHED = 50
 #: Words of test items that one pass over the corpus takes.
 BLOCK = 2_000_000
 #: Cells of alignments held at once.
@@ -65,7 +68,7 @@ class Items:
 
 
 def items_of(rows: list[tuple[int | None, str | None]]) -> Items:
-    """The items with words enough; rows are (item_id, text)."""
+    """The items; those below SEED words have no seeds. rows are (item_id, text)."""
     texts = pa.array([t or "" for _, t in rows], pa.string())
     parts = [(np.zeros(0, np.uint64), np.zeros(1, np.int64))] + [plain_words(buf, offs) for _, _, buf, offs in plain_chunks(texts)]
     h = np.concatenate([p[0] for p in parts])
@@ -159,6 +162,38 @@ def passages(items: Items, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     return doc[a], item[a], np.maximum(first[doc[a]], diagonal[a] - slack), np.minimum(first[doc[a] + 1], diagonal[z] + long[a] + slack)
 
 
+def short_matches(items: Items, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
+    """(document, item, 1, first word, end) of the first place of each item below SEED words that a document has word for word."""
+    length = np.diff(items.first)
+    for n in range(1, SEED):
+        own = np.flatnonzero(length == n)
+        if not len(own) or len(h) < n:
+            continue
+        content = gram_hashes(items.words, n)[items.first[own]]
+        order = np.argsort(content, kind="stable")
+        keys, begin = np.unique(content[order], return_index=True)
+        stop = np.concatenate((begin[1:], [len(order)]))
+        k, at = lookup(keys, gram_hashes(h, n))
+        ok = inside(first, n, len(h))[at]
+        k, at = k[ok], at[ok]
+        doc = np.searchsorted(first, at, "right") - 1
+        once = np.lexsort((at, k, doc))
+        if len(once):
+            once = once[np.concatenate(([True], (doc[once][1:] != doc[once][:-1]) | (k[once][1:] != k[once][:-1])))]
+        for d, key, place in zip(doc[once].tolist(), k[once].tolist(), at[once].tolist(), strict=True):
+            for i in own[order[begin[key] : stop[key]]].tolist():
+                yield d, i, 1.0, int(place - first[d]), int(place - first[d]) + n
+
+
+def matches(items: Items, h: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(document, item, score, first word, end) of the pairs that count as contaminated."""
+    length = np.diff(items.first)
+    for found in best_alignments(items, h, first):
+        if found[2] >= threshold or found[2] * length[found[1]] >= MATCHED - 1e-6:
+            yield found
+    yield from short_matches(items, h, first)
+
+
 def best_alignments(items: Items, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
     """(document, item, score, first word, end) of the best passage of each pair that has a rare seed."""
     doc, item, start, end = passages(items, h, first)
@@ -209,7 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             for b in batches:
                 for a, z, buf, offs in plain_chunks(b.column("text")):
                     ids = b.column("doc_id")[a:z].to_pylist()
-                    rows = [(ids[d], items.ids[i], score, s, e - 1) for d, i, score, s, e in best_alignments(items, *plain_words(buf, offs)) if score >= threshold]
+                    rows = [(ids[d], items.ids[i], score, s, e - 1) for d, i, score, s, e in matches(items, *plain_words(buf, offs), threshold)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), FOUND, strict=True)], schema=FOUND)
 
@@ -232,8 +267,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
             for b in batches:
                 good = np.ones(b.num_rows, bool)
                 for a, _, buf, offs in plain_chunks(b.column("text")):
-                    for d, _, score, _, _ in best_alignments(items, *plain_words(buf, offs)):
-                        good[a + d] &= score < threshold
+                    for d, *_ in matches(items, *plain_words(buf, offs), threshold):
+                        good[a + d] = False
                 yield b.filter(pa.array(good))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -162,6 +162,18 @@ def test_planted_passages(spark):
     assert sorted(r.doc_id for r in left.collect()) == [*range(12), 300, 301]
 
 
+def test_parts_of_long_items_and_short_items(spark):
+    rng = random.Random(13)
+    long = " ".join(f"{w}{i}" for i, w in enumerate(prose(rng, 500).split(" ")))
+    items = spark.createDataFrame([(1, long), (2, "漢字仮名交じり文"), (3, "zyx wvu"), (4, "zyx wvu"), (5, "qponm"), (6, ""), (7, None)], "item_id long, text string")
+    part = " ".join(long.split(" ")[100:300])
+    rows = [(0, prose(rng, 300)), (1, prose(rng, 80) + " " + part + " " + prose(rng, 80)), (2, "see 漢字仮名交じり文, twice 漢字仮名交じり文"), (3, "now ZYX, wvu!"), (4, "zyx and wvu"), (5, "zyx"), (6, "wvu"), (7, "a qponm"), (8, None), (9, " ".join(long.split(" ")[100:140]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted((r.doc_id, r.item_id, r.first_word, r.last_word) for r in contamination.contaminated(docs, items).collect())
+    assert [x[:2] for x in got] == [(1, 1), (2, 2), (3, 3), (3, 4), (7, 5)] and got[1][2:] == (1, 1) and got[2][2:] == (1, 2)
+    assert sorted(r.doc_id for r in contamination.clean(docs, items).collect()) == [0, 4, 5, 6, 8, 9]
+
+
 def plain_align(a, b):
     h, best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)], 0.0
     for i in range(1, len(a) + 1):
