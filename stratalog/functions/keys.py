@@ -33,7 +33,8 @@ def file_number(path: Column) -> Column:
 
 
 def seconds(nanos: Column) -> Column:
-    return F.floor(nanos / F.lit(1_000_000_000)).cast("long")
+    """Whole seconds, below 0 too, in integers throughout."""
+    return ((nanos - F.pmod(nanos, F.lit(1_000_000_000))).cast("decimal(38,0)") / F.lit(1_000_000_000).cast("decimal(38,0)")).cast("long")
 
 
 def age_seconds(now: Column, then: Column) -> Column:

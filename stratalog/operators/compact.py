@@ -6,16 +6,17 @@ key bounds, so that range deletes outside the keys of the points aren't lost.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import age_seconds
 from .flush import flush_entries
 from .log import DELETE, PUT, RANGE_DELETE, points, ranges
-from .resolve import FEW, _bucket, _cuts, covering, latest, visible
+from .resolve import latest, visible
+from .sweep import cuts_of, least_inside, stabbed, with_buckets
 
 
 @dataclass(frozen=True)
@@ -95,60 +96,98 @@ def tombstone_candidate(runs: DataFrame, ratio: float, now: int | None = None, l
     return out.orderBy(F.col("ratio").desc(), "run_id").select("run_id", "ratio").limit(1)
 
 
-def _older(rows: DataFrame, kind: str) -> DataFrame:
-    return rows.select(*(F.col(c).alias(f"o_{c}") for c in rows.columns)).alias(kind)
+def _hides(value: str, run: str = "run") -> Column:
+    """Whether v1, r1, v2 hold a value below another's that is of another run."""
+    other = F.when(F.col("r1") != F.col(run), F.col("v1")).otherwise(F.col("v2"))
+    return F.coalesce(other < F.col(value), F.lit(False))
 
 
 def droppable_points(target: DataFrame, others: DataFrame) -> DataFrame:
-    """Point deletes of the runs in target (key, lsn, ...) that hide nothing: no older point of the key and no older range delete over it elsewhere."""
-    tombs = points(target).where(F.col("op") == DELETE)
-    old = _older(points(others).select("key", "lsn", "run_id"), "old")
-    out = tombs.join(old, (F.col("key") == F.col("o_key")) & (F.col("o_lsn") < F.col("lsn")) & (F.col("run_id") != F.col("o_run_id")), "left_anti")
-    return _not_over_older(out, ranges(others).select("start", "end", F.col("lsn").alias("s_lsn"), F.col("run_id").alias("s_run")))
-
+    """Point deletes of the runs in target (key, lsn, ...) that hide nothing: no older point of the key and no older range delete over it elsewhere.
 
-def _not_over_older(tombs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The tombs that no older span of another run covers, found through the buckets of covering()."""
-    n = spans.count()
-    hit = (F.col("key") >= F.col("start")) & (F.col("key") < F.col("end")) & (F.col("s_lsn") < F.col("lsn")) & (F.col("s_run") != F.col("run_id"))
-    if n <= FEW:
-        return tombs.join(F.broadcast(spans), hit, "left_anti")  # FEW rows at most
-    cuts = _cuts(spans, n)
-    placed = spans.withColumn("s_bucket", F.explode(F.sequence(_bucket(F.col("start"), cuts), _bucket(F.col("end"), cuts))))
-    return tombs.withColumn("bucket", _bucket(F.col("key"), cuts)).join(placed, (F.col("bucket") == F.col("s_bucket")) & hit, "left_anti").drop("bucket")
+    What is elsewhere is read from the two oldest of different runs, of a key's points and of the range deletes over it.
+    """
+    tombs = points(target).where(F.col("op") == DELETE)
+    each = points(others).groupBy(F.col("key").alias("k"), "run_id").agg(F.min("lsn").alias("lsn"))
+    two = each.groupBy("k").agg(F.slice(F.array_sort(F.collect_list(F.struct("lsn", "run_id"))), 1, 2).alias("x"))  # one a run
+    two = two.select("k", F.get("x", F.lit(0)).lsn.alias("v1"), F.get("x", F.lit(0)).run_id.alias("r1"), F.get("x", F.lit(1)).lsn.alias("v2"))
+    out = tombs.join(two, F.col("key") == F.col("k"), "left").where(~_hides("lsn", "run_id")).select(*tombs.columns)
+    spans = ranges(others).select("start", "end", F.col("lsn").alias("value"), F.col("run_id").alias("run"))
+    return stabbed(out, spans, others.select("key", "lsn")).where(~_hides("lsn", "run_id")).select(*tombs.columns)
 
 
 def droppable_ranges(target: DataFrame, others: DataFrame) -> DataFrame:
     """Range deletes of target (start, end, lsn, run_id) that hide nothing: no older point of another run and no older put of their own run in the range."""
     tombs = ranges(target)
-    old = points(others).select(F.col("key").alias("o_key"), F.col("lsn").alias("o_lsn"), F.col("run_id").alias("o_run"), F.col("op").alias("o_op"))
-    hit = (F.col("o_key") >= F.col("start")) & (F.col("o_key") < F.col("end")) & (F.col("o_lsn") < F.col("lsn")) & ((F.col("o_run") != F.col("run_id")) | (F.col("o_op") == PUT))
-    n = tombs.count()
-    if n <= FEW:
-        hiding = old.join(F.broadcast(tombs), hit).select("start", "end", "lsn").distinct()
-    else:
-        cuts = _cuts(tombs, n)
-        placed = tombs.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("start"), cuts), _bucket(F.col("end"), cuts))))
-        hiding = placed.join(old.withColumn("o_bucket", _bucket(F.col("o_key"), cuts)), (F.col("bucket") == F.col("o_bucket")) & hit, "left_semi").select("start", "end", "lsn").distinct()
-    return tombs.join(hiding, ["start", "end", "lsn"], "left_anti")
-
-
-def tombstone_gc(target: DataFrame, everything: DataFrame) -> DataFrame:
-    """The runs in target without the deletes that hide nothing; everything: the whole log, target included."""
+    old = points(others).select("key", F.col("lsn").alias("value"), F.when(F.col("op") == PUT, -1).otherwise(F.col("run_id")).cast("long").alias("run"))
+    found = least_inside(tombs.select("start", "end", F.col("run_id").alias("run")), old, others.select("key", "lsn"))
+    found = found.select(F.col("start").alias("s"), F.col("end").alias("e"), F.col("run").alias("r"), F.when(F.col("r1") != F.col("run"), F.col("v1")).otherwise(F.col("v2")).alias("oldest"))
+    found = found.groupBy("s", "e", "r").agg(F.min("oldest").alias("oldest"))
+    return tombs.join(found, (F.col("start") == F.col("s")) & (F.col("end") == F.col("e")) & (F.col("run_id") == F.col("r")) & (F.col("oldest") < F.col("lsn")), "left_anti")
+
+
+def tombstone_gc(target: DataFrame, everything: DataFrame, drop_ranges: bool = True) -> DataFrame:
+    """The runs in target without the deletes that hide nothing; everything: the whole log, target included. drop_ranges: range deletes too."""
     best = latest(points(target).select("key", "op", "value", "lsn", "ts", "run_id")).withColumn("end", F.lit(None).cast(target.schema["end"].dataType))
     own = ["op", "key", "end", "value", "lsn", "ts", "run_id"]
     kept = best.select(own).union(target.where(F.col("op") == RANGE_DELETE).select(own))
-    gone = droppable_points(kept, everything).select("lsn").union(droppable_ranges(kept, everything).select("lsn"))
+    gone = droppable_points(kept, everything).select("lsn")
+    if drop_ranges:
+        gone = gone.union(droppable_ranges(kept, everything).select("lsn"))
     return kept.join(gone, "lsn", "left_anti").select(own[:-1])
 
 
 def overlapping_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
-    """For each range delete the runs with older records whose keys overlap it: lsn, older_run. runs is metadata, one row a run."""
-    r = F.broadcast(runs.select(F.col("run_id").alias("older_run"), F.col("min_key").alias("lo"), F.col("max_key").alias("hi"), "min_lsn")) if runs.count() <= 10_000 else runs.select(F.col("run_id").alias("older_run"), F.col("min_key").alias("lo"), F.col("max_key").alias("hi"), "min_lsn")
-    t = ranges(log).select("start", "end", "lsn", "run_id")
-    return t.join(r, (F.col("older_run") != F.col("run_id")) & (F.col("lo") < F.col("end")) & (F.col("hi") >= F.col("start")) & (F.col("min_lsn") < F.col("lsn"))).select("lsn", "older_run")
+    """For each range delete the runs with older records whose keys overlap it: lsn, older_run. runs is metadata, one row a run.
+
+    Runs and range deletes meet in the first bucket of the key space that both touch, so that each pair comes once.
+    """
+    cuts = cuts_of(log.select("key", "lsn"))
+    r = runs.where("min_key is not null").select(F.col("run_id").alias("older_run"), F.col("min_key").alias("lo"), F.col("max_key").alias("hi"), "min_lsn")
+    r = with_buckets(r, cuts, r_from="lo", r_to="hi").withColumn("bucket", F.explode(F.sequence("r_from", "r_to")))
+    t = with_buckets(ranges(log).select("start", "end", "lsn", "run_id"), cuts, t_from="start", t_to="end")
+    t = t.withColumn("bucket", F.explode(F.sequence("t_from", "t_to")))
+    meet = (F.col("older_run") != F.col("run_id")) & (F.col("lo") < F.col("end")) & (F.col("hi") >= F.col("start")) & (F.col("min_lsn") < F.col("lsn"))
+    return t.join(r, "bucket").where((F.col("bucket") == F.greatest("r_from", "t_from")) & meet).select("lsn", "older_run")
+
+
+class Strategy(Protocol):
+    """What a store asks of a compaction strategy. Runs are dicts with their properties, id and creation_ts; config is a DbConfig."""
+
+    def to_merge(self, runs: list[dict], config) -> list[int] | None:
+        """Ids of runs to merge next, None if none should be."""
+
+    def to_collect(self, runs: list[dict], config, now: int) -> dict | None:
+        """The run whose deletes should be looked at."""
+
+    def minor(self, log: DataFrame) -> DataFrame: ...
+
+    def collected(self, target: DataFrame, everything: DataFrame, config) -> DataFrame: ...
+
+    def major(self, log: DataFrame) -> DataFrame: ...
+
+
+class SizeTiered:
+    """Merges the fullest tier of runs of like size; collects the run with the greatest share of deletes."""
+
+    def to_merge(self, runs: list[dict], config) -> list[int] | None:
+        tiering = Tiering(least=config.min_compaction_threshold, most=config.max_compaction_threshold)
+        return pick_tier(size_tiers([(r["id"], r["file_size"]) for r in runs], tiering), tiering)
+
+    def to_collect(self, runs: list[dict], config, now: int) -> dict | None:
+        share = lambda r: (r["tombstone_count"] + r["range_tombstone_count"]) / max(1, r["record_count"])
+        old = lambda r: max(0, now - r["creation_ts"]) // 10**9 >= config.tombstone_compaction_interval
+        return max((r for r in runs if share(r) >= config.tombstone_compaction_ratio and old(r)), key=lambda r: (share(r), -r["id"]), default=None)
+
+    def minor(self, log: DataFrame) -> DataFrame:
+        return minor(log)
+
+    def collected(self, target: DataFrame, everything: DataFrame, config) -> DataFrame:
+        return tombstone_gc(target, everything, config.tombstone_range_drop)
+
+    def major(self, log: DataFrame) -> DataFrame:
+        return major(log)
 
 
-#: A strategy turns runs into three rewrites; size tiers are the one there is.
-STRATEGIES: dict[str, dict[str, Callable]] = {"size_tiered": {"minor": minor, "tombstone": tombstone_gc, "major": major}}
-__all__ = ["STRATEGIES", "Tiering", "covering", "major", "minor", "pick_tier", "size_tiers", "tombstone_gc"]
+#: Strategies by the name that a configuration gives; others may be added.
+STRATEGIES: dict[str, Strategy] = {"size_tiered": SizeTiered()}

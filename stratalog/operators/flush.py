@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import byte_size
 from .log import DELETE, RANGE_DELETE, points
@@ -21,28 +26,48 @@ def sealed(log: DataFrame, budget: int, size=None, by: list[str] | None = None)
     """batch, start_lsn, end_lsn, n and bytes of the batches that a write buffer of `budget` bytes freezes into.
 
     A record that doesn't fit seals the buffer and goes into the next. That is a fold in lsn order: it runs inside one writer
-    (`by`: the writers' columns), over that writer's (lsn, size) pairs only. Writers fold side by side.
+    (`by`: the writers' columns), streams that writer's (lsn, size) pairs, and holds one batch of them. Writers fold side by side.
     """
     by = by or []
-    size = record_size() if size is None else size
-    rows = log.select(*by, "lsn", size.alias("size")).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("lsn", "size"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("have"), F.array().cast("array<struct<batch:bigint,lsn:bigint,size:bigint>>").alias("out"))
-
-    def step(acc, x):
-        fits = (acc["have"] == 0) | (acc["have"] + x["size"] <= F.lit(budget))
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        first = F.when(fits & (acc["have"] > 0), F.array().cast("array<struct<batch:bigint,lsn:bigint,size:bigint>>")).otherwise(F.array(F.struct(batch.alias("batch"), x["lsn"].alias("lsn"), x["size"].alias("size"))))
-        return F.struct(batch.alias("batch"), F.when(fits, acc["have"] + x["size"]).otherwise(x["size"]).alias("have"), F.concat(acc["out"], first).alias("out"))
-
-    starts = F.aggregate("rows", start, step, lambda acc: acc["out"])
-    seals = rows.select(*by, F.explode(starts).alias("s")).select(*by, F.col("s.batch").alias("batch"), F.col("s.lsn").alias("start_lsn"))
-    following = Window.partitionBy(*by).orderBy("batch")
-    seals = seals.withColumn("next_lsn", F.lead("start_lsn").over(following))
-    own = log.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("lsn").alias("_lsn"), size.alias("_size"))
-    inside = (F.col("_lsn") >= F.col("start_lsn")) & (F.col("next_lsn").isNull() | (F.col("_lsn") < F.col("next_lsn")))
-    for c in by:
-        inside = inside & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return seals.join(own, inside).groupBy(*by, "batch", "start_lsn").agg(F.max("_lsn").alias("end_lsn"), F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes"))
+    rows = log.select(*by, F.col("lsn").cast("long").alias("lsn"), (record_size() if size is None else size).cast("long").alias("size"))
+    schema = T.StructType([*(rows.schema[c] for c in by), *(T.StructField(c, T.LongType()) for c in ("batch", "start_lsn", "end_lsn", "n", "bytes"))])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, number, have = None, 0, None  # have: start, end, records and bytes of the open batch
+
+        def out(sealed_: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*sealed_, strict=True))
+            kinds = [b.schema.field(c).type for c in by] + [pa.int64()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], schema.fieldNames())
+
+        for b in batches:
+            lsn, sizes = b.column("lsn").to_numpy(), b.column("size").to_numpy()
+            total = np.concatenate(([0], np.cumsum(sizes)))
+            names = list(zip(*(b.column(c).to_pylist() for c in by), strict=True)) if by else [()] * b.num_rows
+            done, i = [], 0
+            while i < b.num_rows:
+                if names[i] != writer:
+                    if have:
+                        done.append((*writer, number, *have))
+                    writer, number, have = names[i], 0, None
+                stop = int(np.searchsorted(total, total[i] + budget - (have[3] if have else 0), "right")) - 1
+                stop = max(stop, i if have else i + 1)  # an empty buffer takes any record
+                while stop > i and names[stop - 1] != writer:
+                    stop -= 1
+                if stop > i:
+                    got = int(total[stop] - total[i])
+                    have = (have[0], int(lsn[stop - 1]), have[2] + stop - i, have[3] + got) if have else (int(lsn[i]), int(lsn[stop - 1]), stop - i, got)
+                    i = stop
+                if i < b.num_rows and names[i] == writer:
+                    done.append((*writer, number, *have))
+                    number, have = number + 1, None
+            if done:
+                yield out(done)
+        if have:
+            yield out([(*writer, number, *have)])
+
+    dealt = rows.repartition(*by) if by else rows.repartition(1)  # one buffer is one sequence
+    return dealt.sortWithinPartitions(*by, "lsn").mapInArrow(fold, schema)
 
 
 def flush_entries(log: DataFrame) -> DataFrame:
@@ -82,7 +107,7 @@ def memtable_stats(log: DataFrame) -> DataFrame:
     )
 
 
-def engine_stats(runs: DataFrame, frozen: int) -> DataFrame:
+def engine_stats(runs: DataFrame, frozen: int | Column) -> DataFrame:
     """One row: frozen batches, runs, their bytes in all and one by one, newest first."""
     sizes = F.transform(F.sort_array(F.collect_list(F.struct("max_lsn", "file_size")), asc=False), lambda x: x.file_size)
-    return runs.agg(F.lit(frozen).cast("long").alias("frozen_count"), F.count(F.lit(1)).alias("run_count"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"), sizes.alias("sizes"))
+    return runs.agg(F.coalesce(F.lit(frozen), F.lit(0)).cast("long").alias("frozen_count"), F.count(F.lit(1)).alias("run_count"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("total_size"), sizes.alias("sizes"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sweep import cuts_of, with_buckets
+
 PUT, DELETE, RANGE_DELETE = 0, 1, 2
 MOST_LSN = 2**63 - 1
 
@@ -43,14 +45,15 @@ def record_order() -> list[Column]:
 def numbered(batch: DataFrame, base: int, order: list[str]) -> DataFrame:
     """lsn = base + 1, base + 2, ... in the order of the given columns, which must tell rows apart.
 
-    Rows are numbered inside ranges of the order and shifted by the rows in the ranges before, so that no task sees all of them.
+    Rows are numbered inside buckets of the order and shifted by the rows in the buckets before, so that no task sees all of them. A
+    row's bucket follows from its columns alone, so that a task that runs again deals it as before.
     """
-    ranged = batch.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if batch.sparkSession.sparkContext.getCheckpointDir() or batch.sparkSession.conf.get("spark.checkpoint.dir", None) else ranged.persist()
-    before = ranged.groupBy("_part").count()
-    before = before.select(F.col("_part").alias("_p"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_shift"))  # one row a range
+    rows = batch.withColumn("_order", F.struct(*order))
+    parted = with_buckets(rows, cuts_of(rows.select("_order")), _part="_order").drop("_order")
+    before = parted.groupBy("_part").count()
+    before = before.select(F.col("_part").alias("_p"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_shift"))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    out = ranged.withColumn("_n", inner).join(F.broadcast(before), F.col("_part") == F.col("_p"))
+    out = parted.withColumn("_n", inner).join(F.broadcast(before), F.col("_part") == F.col("_p"))  # sweep.MOST_BUCKETS rows at most
     return out.withColumn("lsn", (F.lit(base) + F.col("_shift") + F.col("_n")).cast("long")).drop("_part", "_p", "_n", "_shift")
 
 

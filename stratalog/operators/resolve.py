@@ -1,19 +1,15 @@
 """What is visible: a key's newest point must be a put, and no newer range delete may cover it.
 
-Range deletes meet keys by buckets of the key space, cut at sampled starts. A range covers the buckets strictly between those of
-its ends whole; of these only the greatest lsn of each bucket matters, a table of as many rows as there are buckets. In its
-two end buckets it is compared exactly, through an equi-join on the bucket. Up to FEW ranges are compared directly. What the
-driver sees is the sample of at most 4 * CUTS starts.
+Range deletes meet keys by the sweep of ``sweep``: no pair is compared, whatever overlaps, and nothing runs while a plan is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .log import DELETE, PUT, points, ranges
-
-FEW, CUTS, STEP = 64, 255, 16
+from .sweep import stabbed
 
 
 def latest(rows: DataFrame) -> DataFrame:
@@ -22,71 +18,26 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by(F.struct(*fields), F.struct("lsn", F.coalesce("ts", F.lit(0)))).alias("_r")).select("key", "_r.*")
 
 
-def _bucket(key: Column, cuts: list) -> Column:
-    """How many of the ascending cuts are at or below key, by a search in two steps."""
-    if not cuts:
-        return F.lit(0)
-    parts = [cuts[i : i + STEP] for i in range(0, len(cuts), STEP)]
-    below = lambda some, k: F.size(F.filter(some, lambda x: x <= k))
-
-    def search(k: Column) -> Column:
-        if len(parts) == 1:
-            return below(F.array(*map(F.lit, cuts)), k)
-        part = below(F.array(*(F.lit(p[0]) for p in parts[1:])), k)
-        return part * STEP + below(F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), part + 1), k)
-
-    return F.element_at(F.transform(F.array(key), search), 1)  # key is often an expression: evaluated once, not for each cut
-
-
-def _cuts(tombs: DataFrame, n: int) -> list:
-    rows = tombs.select("start").sample(min(1.0, 4 * CUTS / n), seed=7).limit(8 * CUTS).collect()
-    found = sorted({bytes(r.start) if isinstance(r.start, bytearray) else r.start for r in rows})
-    step = max(1, len(found) // CUTS)
-    return found[::step][:CUTS]
-
-
-def _parts(tombs: DataFrame, cuts: list) -> tuple[DataFrame, DataFrame]:
-    """(bucket, inner_lsn) for buckets covered whole, and (bucket, start, end, t_lsn) for the ends."""
-    placed = tombs.select("start", "end", F.col("lsn").alias("t_lsn"), _bucket(F.col("start"), cuts).alias("a"), _bucket(F.col("end"), cuts).alias("z"))
-    inner = placed.where("z - a > 1").select(F.explode(F.sequence(F.col("a") + 1, F.col("z") - 1)).alias("bucket"), "t_lsn").groupBy("bucket").agg(F.max("t_lsn").alias("inner_lsn"))
-    ends = placed.select(F.explode(F.array_distinct(F.array("a", "z"))).alias("bucket"), "start", "end", "t_lsn")
-    return inner, ends
+def _newest_first(tombs: DataFrame) -> DataFrame:
+    """Range deletes as spans whose least value is the greatest lsn."""
+    return tombs.select("start", "end", (-F.col("lsn")).alias("value"), F.lit(0).cast("long").alias("run"))
 
 
-def uncovered(rows: DataFrame, tombs: DataFrame) -> DataFrame:
-    """The rows (key, lsn, ...) that no newer range delete (start, end, lsn) covers."""
-    n = tombs.count()
-    if n <= FEW:
-        t = F.broadcast(tombs.select("start", "end", F.col("lsn").alias("t_lsn")))  # FEW rows at most
-        return rows.join(t, (F.col("key") >= F.col("start")) & (F.col("key") < F.col("end")) & (F.col("t_lsn") > F.col("lsn")), "left_anti")
-    cuts = _cuts(tombs, n)
-    inner, ends = _parts(tombs, cuts)
-    ends = ends.withColumnRenamed("bucket", "e_bucket")
-    out = rows.withColumn("bucket", _bucket(F.col("key"), cuts)).join(inner, "bucket", "left").where(F.col("inner_lsn").isNull() | (F.col("inner_lsn") <= F.col("lsn")))
-    hit = (F.col("bucket") == F.col("e_bucket")) & (F.col("key") >= F.col("start")) & (F.col("key") < F.col("end")) & (F.col("t_lsn") > F.col("lsn"))
-    return out.join(ends, hit, "left_anti").select(*rows.columns)
+def uncovered(rows: DataFrame, tombs: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The rows (key, lsn, ...) that no newer range delete (start, end, lsn) covers. keys (key, ...): where the cuts of the key space are sampled, if not from both."""
+    return stabbed(rows, _newest_first(tombs), keys).where(F.col("v1").isNull() | (-F.col("v1") <= F.col("lsn"))).select(*rows.columns)
 
 
 def covering(keys: DataFrame, tombs: DataFrame) -> DataFrame:
     """key and covering_lsn, the newest range delete over it, for the distinct keys (key) that have one."""
     keys = keys.select("key").distinct()
-    n = tombs.count()
-    if n <= FEW:
-        t = F.broadcast(tombs.select("start", "end", F.col("lsn").alias("t_lsn")))
-        found = keys.join(t, (F.col("key") >= F.col("start")) & (F.col("key") < F.col("end")))
-        return found.groupBy("key").agg(F.max("t_lsn").alias("covering_lsn"))
-    cuts = _cuts(tombs, n)
-    inner, ends = _parts(tombs, cuts)
-    placed = keys.withColumn("bucket", _bucket(F.col("key"), cuts))
-    ends = ends.withColumnRenamed("bucket", "e_bucket")
-    exact = placed.join(ends, (F.col("bucket") == F.col("e_bucket")) & (F.col("key") >= F.col("start")) & (F.col("key") < F.col("end"))).select("key", "t_lsn")
-    whole = placed.join(inner, "bucket").select("key", F.col("inner_lsn").alias("t_lsn"))
-    return exact.union(whole).groupBy("key").agg(F.max("t_lsn").alias("covering_lsn"))
+    return stabbed(keys, _newest_first(tombs)).where("v1 is not null").select("key", (-F.col("v1")).alias("covering_lsn"))
 
 
 def visible(log: DataFrame) -> DataFrame:
     """key, value, lsn of the visible state of a log. Filters on value or op belong after this, never before."""
-    return uncovered(latest(points(log).select("key", "op", "value", "lsn", "ts")).where(F.col("op") == PUT), ranges(log)).select("key", "value", "lsn")
+    live = latest(points(log).select("key", "op", "value", "lsn", "ts")).where(F.col("op") == PUT)
+    return uncovered(live, ranges(log), log.select("key", "lsn")).select("key", "value", "lsn")
 
 
 def outcome(keys: DataFrame, log: DataFrame) -> DataFrame:

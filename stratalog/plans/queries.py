@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys
 from ..operators import compact, flush, log, resolve, scan
 from ..sources import manifest
-from ..sources.events import customer_keys, event_log
+from ..sources.events import customer_keys, event_log, layered_log
 from . import workloads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,21 +74,21 @@ def multi_get(spark: SparkSession, d: str) -> DataFrame:
 
 def point_get(spark: SparkSession, d: str) -> DataFrame:
     """One key, filtered before anything else."""
-    rows = event_log(spark, d)
+    rows = event_log(spark, d, (PREFIX, PREFIX))
     asked = spark.createDataFrame([(PREFIX + "007",)], "key string")
     return scan.multi_get(asked, scan.within(rows, PREFIX + "007", keys.successor(PREFIX + "007")))
 
 
 def scan_range(spark: SparkSession, d: str) -> DataFrame:
-    return scan.scan(event_log(spark, d), LOW, HIGH)
+    return scan.scan(event_log(spark, d, (LOW, HIGH)), LOW, HIGH)
 
 
 def scan_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return scan.prefix_scan(event_log(spark, d), PREFIX)
+    return scan.prefix_scan(event_log(spark, d, (PREFIX, PREFIX)), PREFIX)
 
 
 def raw_scan(spark: SparkSession, d: str) -> DataFrame:
-    return scan.raw_scan(event_log(spark, d), LOW, HIGH).select("op", "key", "end", "value", "lsn")
+    return scan.raw_scan(event_log(spark, d, (LOW, HIGH)), LOW, HIGH).select("op", "key", "end", "value", "lsn")
 
 
 def covering_tombstone(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,7 @@ def covering_tombstone(spark: SparkSession, d: str) -> DataFrame:
 
 
 def merge_layers(spark: SparkSession, d: str) -> DataFrame:
-    rows = event_log(spark, d)
+    rows = layered_log(spark, d)
     return scan.merge(*(rows.where(F.col("layer") == i) for i in range(3))).select("key", "op", "lsn", "layer")
 
 
@@ -116,7 +116,7 @@ def freeze_boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flush_entries(spark: SparkSession, d: str) -> DataFrame:
-    return flush.flush_entries(event_log(spark, d).where("layer = 1")).select("op", "key", "end", "value", "lsn")
+    return flush.flush_entries(layered_log(spark, d).where("layer = 1")).select("op", "key", "end", "value", "lsn")
 
 
 def run_properties(spark: SparkSession, d: str) -> DataFrame:
@@ -124,14 +124,14 @@ def run_properties(spark: SparkSession, d: str) -> DataFrame:
 
 
 def engine_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = sized(event_log(spark, d))
-    frozen = rows.where("layer = 1").select("run_id").distinct().count()
+    rows = sized(layered_log(spark, d))
+    frozen = rows.where("layer = 1").agg(F.count_distinct("run_id").alias("n")).scalar()
     out = flush.engine_stats(flush.run_properties(rows.where("layer = 2")), frozen)
     return out.withColumn("sizes", F.array_join("sizes", ","))
 
 
 def memtable_stats(spark: SparkSession, d: str) -> DataFrame:
-    return flush.memtable_stats(sized(event_log(spark, d)).where("layer = 0"))
+    return flush.memtable_stats(sized(layered_log(spark, d)).where("layer = 0"))
 
 
 def size_tiers(spark: SparkSession, d: str) -> DataFrame:

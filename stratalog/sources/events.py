@@ -12,15 +12,24 @@ def _key(user: Column, k: Column) -> Column:
     return F.concat(F.lit("u"), F.lpad(user.cast("string"), 6, "0"), F.lit("/"), F.lpad(k.cast("string"), 3, "0"))
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op, key, end, value, lsn, ts, run_id, layer: errors delete their key, those with k >= 80 a range of 25 keys of their user, all else puts.
+def _user(key: str, default: str) -> int:
+    """The user's number in a key or the beginning of one."""
+    return int((key[1:7] + default * 6)[:6])
 
-    A run is RUN_LENGTH mutations. layer 0 is the newest run, 1 the two before, 2 all others.
+
+def event_log(spark: SparkSession, sf_dir: str, keys: tuple[str, str] | None = None) -> DataFrame:
+    """op, key, end, value, lsn, ts, run_id: errors delete their key, those with k >= 80 a range of 25 keys of their user, all else puts.
+
+    A run is RUN_LENGTH mutations. keys: a range of keys that are wanted; as a record bears only on keys of its own user, it
+    becomes a range of users that reaches the scan.
     """
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if keys:
+        e = e.where(F.col("user_id").between(_user(keys[0], "0"), _user(keys[1], "9")))
+    e = e.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     op = F.when((F.col("event_type") == "error") & (F.col("k") >= 80), 2).when(F.col("event_type") == "error", 1).otherwise(0)
     low = (F.col("k") - 80) * 5
-    rows = e.withColumn("op", op).select(
+    return e.withColumn("op", op).select(
         "op",
         F.when(F.col("op") == 2, _key(F.col("user_id"), low)).otherwise(_key(F.col("user_id"), F.col("k"))).alias("key"),
         F.when(F.col("op") == 2, _key(F.col("user_id"), low + 25)).alias("end"),
@@ -29,9 +38,13 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") * 1000).alias("ts"),
         F.expr(f"event_id div {RUN_LENGTH}").alias("run_id"),
     )
-    newest = e.agg(F.max(F.expr(f"event_id div {RUN_LENGTH}")).alias("newest"))
-    layer = F.when(F.col("run_id") == F.col("newest"), 0).when(F.col("run_id") >= F.col("newest") - 2, 1).otherwise(2)
-    return rows.crossJoin(F.broadcast(newest)).withColumn("layer", layer).drop("newest")  # one row
+
+
+def layered_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_log with layer: 0 is the newest run, 1 the two before, 2 all others."""
+    newest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.expr(f"event_id div {RUN_LENGTH}")).alias("newest")).scalar()
+    layer = F.when(F.col("run_id") == newest, 0).when(F.col("run_id") >= newest - 2, 1).otherwise(2)
+    return event_log(spark, sf_dir).withColumn("layer", layer)
 
 
 def customer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,7 @@ class Files:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
+
+    def move(self, name: str, to: str) -> None:
+        self._fs.mkdirs(self._path(to).getParent())
+        self._fs.rename(self._path(name), self._path(to))

@@ -40,5 +40,5 @@ def orphans(listed: DataFrame, known: DataFrame) -> DataFrame:
 
 def valid_prefix(rows: DataFrame, seq: str, valid: Column) -> DataFrame:
     """The rows before the first, in the order of seq, that isn't valid."""
-    bad = rows.where(~valid | valid.isNull()).agg(F.min(seq).alias("_bad"))
-    return rows.crossJoin(F.broadcast(bad)).where(F.col("_bad").isNull() | (F.col(seq) < F.col("_bad"))).drop("_bad")  # one row
+    bad = rows.where(~valid | valid.isNull()).agg(F.min(seq).alias("bad")).scalar()
+    return rows.where(bad.isNull() | (F.col(seq) < bad))

@@ -13,8 +13,12 @@ def write_run(rows: DataFrame, path: str) -> dict | None:
     own = rows.select("op", "key", "end", "value", "lsn", "ts")
     sorted_ = own.repartitionByRange("key").sortWithinPartitions(*log.record_order())
     sorted_.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
-    written = rows.sparkSession.read.schema(own.schema).parquet(path)
-    found = flush.run_properties(written.withColumn("run_id", F.lit(0).cast("long"))).drop("run_id").first()
+    return run_properties(rows.sparkSession, path)
+
+
+def run_properties(spark: SparkSession, path: str) -> dict | None:
+    """What is known about the run in a folder; None if it has no rows."""
+    found = flush.run_properties(read_run(spark, path, 0)).drop("run_id").first()
     if found is None:
         return None
     return {k: v.hex() if isinstance(v, (bytes, bytearray)) else v for k, v in found.asDict().items()}

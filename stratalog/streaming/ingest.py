@@ -19,7 +19,7 @@ def ingest(stream: DataFrame, db: Db, order: list[str], checkpoint: str, name: s
 
     def sink(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            db.write(batch, order, f"{name}-{number}")
+            db.write(batch, order, (name, number))
         if maintain_every and number % maintain_every == maintain_every - 1:
             db.maintain()
         if after:

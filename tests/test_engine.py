@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratalog.functions import keys
-from stratalog.operators import compact, flush, log, resolve, scan
+from stratalog.operators import compact, flush, log, resolve, scan, sweep
 
 
 def make(spark, rows, run=lambda lsn: 0):
@@ -102,7 +103,6 @@ def random_log(seed, ops=600, n=120, with_ranges=0.95):
 def test_random_log_and_compactions(spark, seed):
     rows, live = random_log(seed)
     data = make(spark, rows, run=lambda lsn: lsn // 100).cache()
-    assert data.where("op = 2").count() > resolve.FEW  # the bucketed way
     assert state(resolve.visible(data)) == live
     own = ["op", "key", "end", "value", "lsn", "ts"]
     merged = compact.minor(data.where("run_id in (1, 2, 4)")).select(own).union(data.where("run_id not in (1, 2, 4)").select(own))
@@ -112,6 +112,71 @@ def test_random_log_and_compactions(spark, seed):
     assert state(compact.major(data)) == live
 
 
+def test_paint_and_least_of_against_plain_loops():
+    rng = np.random.default_rng(0)
+    for n, m in ((1, 3), (7, 20), (40, 60)):
+        low = rng.integers(0, n, m)
+        high = np.minimum(n, low + rng.integers(0, n + 1, m))
+        value, run = rng.integers(0, 50, m), rng.integers(0, 4, m)
+
+        def two(pairs):
+            best = min(pairs, default=(sweep.NONE, -1))
+            return best[0], min((v for v, r in pairs if r != best[1]), default=sweep.NONE)
+
+        v1, r1, v2 = sweep.paint(low, high, value, run, n)
+        for i in range(n):
+            over = [(v, r) for a, z, v, r in zip(low, high, value, run, strict=True) if a <= i < z]
+            assert v1[i] == two(over)[0] and (not over or (v1[i], r1[i]) in over)
+            assert v2[i] == min((v for v, r in over if r != r1[i]), default=sweep.NONE)
+        places, owner = rng.integers(0, 50, n), rng.integers(0, 4, n)
+        v1, r1, v2 = sweep.least_of((places, owner, np.full(n, sweep.NONE)), low, high)
+        for i in range(m):
+            inside = [(v, r) for v, r in zip(places[low[i] : high[i]], owner[low[i] : high[i]], strict=True)]
+            assert v1[i] == two(inside)[0]
+            assert v2[i] == min((v for v, r in inside if r != r1[i]), default=sweep.NONE)
+
+
+def test_many_overlapping_range_deletes(spark):
+    """100,000 range deletes, all over one another, and one wide one; a pair for each point and range would be ten thousand millions."""
+    n = 100_000
+    name = lambda c: F.format_string("k%08d", c)
+    tombs = spark.range(n).select(name(F.col("id") * 7 % n).alias("start"), name(F.col("id") * 7 % n + 1 + F.col("id") % 90_000).alias("end"), (F.col("id") + 1).alias("lsn"))
+    points = spark.range(0, n, 10).select(name(F.col("id")).alias("key"), F.lit(50_000).cast("long").alias("lsn"))
+    got = {r.key: r.covering_lsn for r in resolve.covering(points, tombs).collect()}
+    rows = [(i * 7 % n, i * 7 % n + 1 + i % 90_000, i + 1) for i in range(n)]
+    want = np.zeros(n, np.int64)
+    for a, z, lsn in rows:
+        want[a:z] = lsn  # lsn ascends
+    assert got == {f"k{i:08d}": int(want[i]) for i in range(0, n, 10) if want[i]}
+    left = {r.key for r in resolve.uncovered(points, tombs).collect()}
+    assert left == {f"k{i:08d}" for i in range(0, n, 10) if want[i] <= 50_000}
+    plan = resolve.uncovered(points, tombs)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_droppable_against_pairs(spark, seed):
+    """Wide and narrow range deletes over several runs, each judged against every record."""
+    rng, rows = random.Random(seed), []
+    for lsn in range(1, 500):
+        k, draw = rng.randrange(400), rng.random()
+        if draw < 0.5:
+            rows.append(put(b"k%03d" % k, b"v", lsn))
+        elif draw < 0.7:
+            rows.append(dele(b"k%03d" % k, lsn))
+        else:
+            rows.append(rdel(b"k%03d" % k, b"k%03d" % (k + 1 + rng.choice([1, 5, 40, 500])), lsn))
+    of = {r[4]: rng.randrange(5) for r in rows}
+    data = make(spark, rows, run=lambda lsn: of[lsn])
+    pts = [(k, lsn, of[lsn], op) for op, k, _, _, lsn, _ in rows if op < 2]
+    spans = [(k, e, lsn, of[lsn]) for op, k, e, _, lsn, _ in rows if op == 2]
+    want = {lsn for k, lsn, run, op in pts if op == 1 and not any(k == x and y < lsn and r != run for x, y, r, _ in pts) and not any(s <= k < e and y < lsn and r != run for s, e, y, r in spans)}
+    assert {r.lsn for r in compact.droppable_points(data, data).collect()} == want
+    want = {lsn for s, e, lsn, run in spans if not any(s <= k < e and y < lsn and (r != run or op == 0) for k, y, r, op in pts)}
+    assert {r.lsn for r in compact.droppable_ranges(data, data).collect()} == want
+    assert want
+
+
 def test_range_outside_the_points_survives_a_merge(spark):
     data = make(spark, [put(b"m", b"old", 1), put(b"a", b"v", 2), rdel(b"l", b"z", 3)], run=lambda lsn: 0 if lsn == 1 else 1)
     kept = compact.minor(data.where("run_id = 1"))
@@ -153,6 +218,17 @@ def test_numbering_and_sealing(spark):
     batches = sorted((r.start_lsn, r.end_lsn, r.bytes) for r in flush.sealed(data, 100).collect())
     assert batches[0][0] == 1 and batches[-1][1] == 49 and all(b[2] <= 100 for b in batches)
     assert all(a[1] + 1 == b[0] for a, b in zip(batches, batches[1:], strict=False))
+    for arrow in (1000, 7):  # whatever the size of a batch of rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow))
+        sizes = [flush.RECORD_BYTES + len(b"k%d" % i) + i % 5 + 1 for i in range(1, 50)]
+        want, have = [], None
+        for i, x in enumerate(sizes, 1):
+            have = (have[0], i, have[2] + 1, have[3] + x) if have and have[3] + x <= 100 else (i, i, 1, x)
+            want = [*(w for w in want if w[0] != have[0]), have]
+        writers = data.withColumn("writer", F.lit("w")).union(data.withColumn("writer", F.lit("x")))
+        got = sorted(tuple(r) for r in flush.sealed(writers, 100, by=["writer"]).collect())
+        assert got == [(w, n, *x) for w in "wx" for n, x in enumerate(want)]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_invalid_rows(spark):
@@ -164,6 +240,8 @@ def test_keys(spark):
     assert keys.successor(b"ab\xff\xff") == b"ac" and keys.successor(b"\xff") is None and keys.successor("u1/") == "u10"
     row = spark.range(1).select(keys.shown(F.lit("ab")), keys.file_name(F.lit(7), ".sst"), keys.file_number(F.lit("x/000042.log")), keys.age_seconds(F.lit(1), F.lit(10**10)), keys.checksum(F.lit("ab"))).first()
     assert tuple(row) == ("6162", "000007.sst", 42, 0, 2659403885)
+    exact = spark.range(1).select(keys.seconds(F.lit(1_999_999_999_999_999_999)), keys.seconds(F.lit(-1)), keys.seconds(F.lit(0))).first()
+    assert tuple(exact) == (1_999_999_999, -1, 0)
 
 
 def test_empty_log(spark):

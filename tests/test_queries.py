@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from stratalog.plans import queries
@@ -22,13 +23,23 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_pushdown_and_plan(spark):
-    """Key bounds reach the scan of a run; no nested loop over many range deletes."""
-    from stratalog.operators import resolve
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_no_pairs_of_everything(spark, name):
+    """No query joins without an equality, and none runs a job while its plan is built."""
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", name)
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    stages = [seen.getStageInfo(s) for j in seen.getJobIdsForGroup("building") for s in seen.getJobInfo(j).stageIds]
+    jobs = [s.name for s in stages if s and not s.name.startswith("parquet at")]  # schemas of the tables
+    spark.sparkContext.setJobGroup("", "")
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert not jobs
+
 
-    df = resolve.uncovered(queries.latest_version(spark, DATA), queries.range_tombstones(spark, DATA))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan or queries.range_tombstones(spark, DATA).count() <= resolve.FEW
+def test_key_bounds_reach_the_events(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = queries.point_get(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("GreaterThanOrEqual(user_id,42)") == plan.count("FileScan")
 
 
 def test_run_scan_pushes_key_bounds(spark, tmp_path):
@@ -41,3 +52,27 @@ def test_run_scan_pushes_key_bounds(spark, tmp_path):
     bounded = scan.within(read_run(spark, str(tmp_path / "r"), 1), bytearray(b"k1"), bytearray(b"k2")).where("op < 2")
     plan = bounded._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan
+
+
+def test_runs_have_bloom_filters(spark, tmp_path):
+    """Filters on the key are written, and a key that a run lacks reads no row group."""
+    from stratalog.sources.runs import read_run, write_run
+    from tests.test_engine import make, put
+
+    at = str(tmp_path / "r")
+    write_run(make(spark, [put(b"k%05d" % (2 * i), b"v%d" % i, i) for i in range(1, 5000)]), at)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = 0
+    for f in (tmp_path / "r").glob("*.parquet"):
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(str(f)), conf))
+        for block in reader.getFooter().getBlocks():
+            column = next(c for c in block.getColumns() if c.getPath().toDotString() == "key")
+            found += column.getBloomFilterOffset() > 0
+        reader.close()
+    assert found
+    absent = read_run(spark, at, 1).where(F.col("key") == F.lit(bytearray(b"k00101")))
+    assert absent.count() == 0
+    rows = absent.select("value")
+    rows.collect()
+    leaves = rows._jdf.queryExecution().executedPlan().collectLeaves()
+    assert leaves.apply(0).metrics().apply("numOutputRows").value() == 0
