@@ -5,9 +5,10 @@ its source's words, and the excess is shared again by weight. That is water-fill
 those whose cap lies below the level of the rest take their cap, and the others the level times their weight.
 
 Each document of a source is expected ``target / source size`` times. Documents are ranked within their source by size, longest
-first, and then doc_id; the expected copies are summed along that order, one offset drawn from the source's name and the seed
-is added, and a document is emitted once for each integer that the sum passes. Sorting by size makes what rounding gains at one
-document almost cancel at the next, so that a source's taken words miss the target by less than its longest document.
+first, and then doc_id; the expected copies are summed along that order, one offset is added, and a document is emitted once
+for each integer that the sum passes. Sorting by size makes what rounding gains at one document almost cancel at the next, so
+that a source's taken words miss the target by less than its longest document. The offset is the best of ``OFFSETS`` drawn
+from the source's name and the seed: the one whose taken words come nearest to the target, which matters in small sources.
 
 Ranks come from a range partitioning on (source, size, doc_id): rows are numbered inside their range and shifted by the rows
 that the source has in ranges before it, so a source with a third of all rows is spread over many tasks. Only (doc_id, source,
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import partitions, through_table
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "1"
+WEIGHTS, SHARE, MOST, SEED, OFFSETS = (5, 2, 1), 1.5, 2, "1", 32
 
 
 def word_count(text: str | Column) -> Column:
@@ -63,22 +64,42 @@ def ranked(rows: DataFrame) -> DataFrame:
     return inner.join(before, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "key", "source", "size", (F.col("place") + F.col("shift")).alias("place"))
 
 
+def copies_at(u: Column) -> Column:
+    """Integers that rate * place + u passes at a row of rate and place."""
+    at = lambda place: F.floor(F.col("rate") * place + u)
+    return F.least(at(F.col("place")) - at(F.col("place") - 1), F.lit(MOST)).cast("long")
+
+
 def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, key, source, size, source_size, target, copies, taken for docs (doc_id, text, source); key: a hash of the text."""
     rows = through_table(docs.select("doc_id", F.xxhash64("text").alias("key"), "source", word_count("text").alias("size")), "mix-sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "s")
-    out = ranked(rows).join(aims, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rate, u = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0), offset(F.col("source"), seed)
-    out = out.withColumn("rate", rate).withColumn("u", u)
-    copies = F.least(F.floor(F.col("rate") * F.col("place") + F.col("u")) - F.floor(F.col("rate") * (F.col("place") - 1) + F.col("u")), F.lit(MOST)).cast("long")
-    return out.select("doc_id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    aims = aims.withColumn("rate", rate).withColumn("us", F.array(*(offset(F.col("s"), f"{seed}#{k}") for k in range(OFFSETS))))
+    same = F.col("source").eqNullSafe(F.col("s"))
+    placed = through_table(ranked(rows), "mix-places")
+    tried = placed.join(aims, same).groupBy("s", "source_size", "target", "rate", "us").agg(F.array(*(F.sum(copies_at(F.col("us")[k]) * F.col("size")) for k in range(OFFSETS))).alias("sums"))
+    misses = F.transform("sums", lambda x, k: F.struct(F.abs(x - F.col("target")).alias("miss"), k.alias("k")))
+    chosen = tried.select("s", "source_size", "target", "rate", F.get("us", F.array_min(misses).k).alias("u"))
+    out = placed.join(chosen, same).drop("s").withColumn("copies", copies_at(F.col("u")))
+    return out.select("doc_id", "key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def copies_of(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """Each row of docs as often as the mix takes it, with copy: 1, 2. (doc_id, text, source) should tell rows apart."""
-    taken = mixed(docs, seed).where("copies > 0").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord"), F.col("key").alias("_key"), F.col("source").alias("_source"), "copies")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord"), F.xxhash64("text").alias("_key"), F.struct(*docs.columns).alias("_row"))
-    both = rows.join(taken.withColumnRenamed("copies", "_copies"), ["_ord", "_key"]).where(F.col("_row.source").eqNullSafe(F.col("_source")))
+    """Each row of docs as often as the mix takes it, with copy: 1, 2.
+
+    Rows that agree in doc_id, text and source share out the copies that the mix takes of such rows, in the order of a hash of all their
+    columns: as many get two, one and none as the mix says.
+    """
+    order, src = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord"), F.xxhash64(F.col("source").isNull(), F.coalesce("source", F.lit(""))).alias("_src")
+    names = ["_ord", "_key", "_src"]
+    taken = mixed(docs, seed).select(order, F.col("key").alias("_key"), src, "copies").where("copies > 0")
+    # _n[k - 1]: rows of which k copies or more are taken; one row for all rows that agree
+    taken = taken.groupBy(*names).agg(F.array(*(F.count_if(F.col("copies") >= k) for k in range(1, MOST + 1))).alias("_n"))
+    rows = docs.select(order, F.xxhash64("text").alias("_key"), src, F.struct(*docs.columns).alias("_row"))
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("_row")))
+    both = rows.join(taken, names).withColumn("_place", place)
+    both = both.withColumn("_copies", F.size(F.filter("_n", lambda x: x >= F.col("_place"))).cast("long")).where("_copies > 0")
     number = next(name for name in ("copy", "copy_number", "_copy_number") if name not in docs.columns)
     return both.select("_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias(number))
 
@@ -99,10 +120,13 @@ levels AS (SELECT *, (CAST(total AS DOUBLE) * 1.5::DOUBLE - CAST(coalesce(sum(ca
 marked AS (SELECT *, cap > own_level * weight AS above FROM levels),
 aims AS (SELECT source, source_size, CASE WHEN above THEN weight * (SELECT own_level FROM marked WHERE above ORDER BY cap::DOUBLE / weight, place LIMIT 1) ELSE CAST(cap AS DOUBLE) END AS target FROM marked),
 rated AS (SELECT s.*, a.source_size, a.target, CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate,
-  CAST('0x' || substr(md5(coalesce(s.source, '') || '#1'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u,
   row_number() OVER (PARTITION BY s.source ORDER BY s.size DESC, s.doc_id ASC NULLS LAST) AS place
   FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source),
-copied AS (SELECT *, CAST(least(floor(rate * place + u) - floor(rate * (place - 1) + u), 2) AS BIGINT) AS copies FROM rated),
+draws AS (SELECT source, target, k, CAST('0x' || substr(md5(coalesce(source, '') || '#1#' || k), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM aims, range({OFFSETS}) AS t(k)),
+tried AS (SELECT r.source, d.k, d.u, sum(least(floor(rate * place + u) - floor(rate * (place - 1) + u), 2)::BIGINT * size) AS have, any_value(d.target) AS target
+  FROM rated r JOIN draws d ON r.source IS NOT DISTINCT FROM d.source GROUP BY r.source, d.k, d.u),
+best AS (SELECT source, u FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(have::BIGINT - target), k) = 1),
+copied AS (SELECT r.*, CAST(least(floor(rate * place + u) - floor(rate * (place - 1) + u), 2) AS BIGINT) AS copies FROM rated r JOIN best b ON r.source IS NOT DISTINCT FROM b.source),
 mixed AS (SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM copied)
 """
 

@@ -94,6 +94,30 @@ def test_mix(docs):
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mixed(docs.repartition(2)).collect()))
 
 
+def test_equal_rows_share_their_copies(spark):
+    """As many rows come out as the mix takes, whatever rows agree: three equal ones of which 1, 2 and 1 copies are taken come four times."""
+    rows = [(1, "a b c", "x", 7)] * 3 + [(1, "a b c", "x", 8)] * 2 + [(2, "d e", "x", 1), (None, None, None, 2), (None, None, None, 2), (None, None, "", 2), (3, "f g h i", "", 3), (4, "j k", None, 4)] + [(5, "l m n", "y", i) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, own int")
+    want = Counter()
+    for r in mixing.mixed(docs).collect():
+        want[(r.doc_id, r.key, r.source)] += r.copies
+    got = mixing.copies_of(docs).withColumn("key", F.xxhash64("text")).collect()
+    assert Counter((r.doc_id, r.key, r.source) for r in got) == +want and sum(want.values()) > len(rows)
+    given = Counter(rows)
+    assert all(n <= 2 * given[k] for k, n in Counter((r.doc_id, r.text, r.source, r.own) for r in got).items())
+    assert {r["copy"] for r in got} == {1, 2}
+
+
+def test_small_sources_come_near_their_targets(spark):
+    rng = random.Random(14)
+    rows = [(i, "w " * int(2 ** rng.uniform(0, 12)), f"s{i % 7}") for i in range(350)]
+    by = defaultdict(list)
+    for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        by[r.source].append(r)
+    miss = [abs(sum(r.taken for r in own) - own[0].target) / own[0].target for own in by.values()]
+    assert sum(miss) / len(miss) < 0.01 and max(miss) < 0.03
+
+
 def test_mix_of_none(none):
     assert mixing.mixed(none).count() == 0 and mixing.copies_of(none).count() == 0
 
