@@ -125,33 +125,67 @@ def test_mix_of_none(none):
 # 8: lines
 
 
-def test_lines(docs):
-    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()
-    order = sorted(keyed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.k))
+def plain_lines(rows, window, alone):
+    """rows (doc_id, text, hash): the runs rule, said directly."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
     first, want = {}, Counter()
-    for r in order:
-        ls = (r.text or "").split("\n")
-        full = [i for i, x in enumerate(ls) if x.strip(" ")]
+    for doc_id, text, k in order:
+        ls = (text or "").split("\n")
+        full = [i for i, x in enumerate(ls) if x.strip(" \t\r")]
+        own = [ls[i].strip(" \t\r") for i in full]
         gone = set()
-        for a, b in zip(full, full[1:], strict=False):
-            who = first.setdefault((ls[a].strip(" "), ls[b].strip(" ")), (r.doc_id, r.k, a))
-            if who[:2] != (r.doc_id, r.k) or who[2] < a:
-                gone |= {a, b}
-        want[(r.doc_id, len(ls), len(gone), "\n".join(x for i, x in enumerate(ls) if i not in gone))] += 1
-    got = Counter(tuple(r) for r in lines.with_kept_lines(docs).collect())
-    assert got == want and sum(x[2] for x in got) >= 4
-
-
-def test_fingerprints_count_places(spark):
-    texts = ["b\na\nc\nd\ne", "own\nx\ny", "z\nx\ny\nx\ny", "q\nq\nq\nr"]
+        for n in {1, window}:
+            for a in range(len(own) - n + 1):
+                if n == 1 < window and len(own[a].encode()) < (alone or 1 << 60):
+                    continue
+                who = first.setdefault(tuple(own[a : a + n]) if n > 1 or window == 1 else own[a], (doc_id, k, a))
+                if who[:2] != (doc_id, k) or who[2] < a:
+                    gone |= set(full[a : a + n])
+        want[(doc_id, len(ls), len(gone), "\n".join(x for i, x in enumerate(ls) if i not in gone))] += 1
+    return want
+
+
+@pytest.mark.parametrize(("window", "alone"), [(2, 32), (2, None), (3, None), (4, 40)])
+def test_lines(spark, docs, window, alone):
+    """Runs under other neighbours than at their earliest place, in many short documents of few different lines, beside the awkward ones."""
+    rng = random.Random(window)
+    pool = [prose(rng, rng.randint(1, 7)) for _ in range(9)]
+    few = [(1000 + i, "\n".join(rng.choice(pool) + rng.choice(["", " ", "\r"]) for _ in range(rng.randint(1, 12)))) for i in range(150)]
+    both = docs.select("doc_id", "text").union(spark.createDataFrame(few, "doc_id long, text string"))
+    keyed = both.withColumn("k", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    got = Counter(tuple(r) for r in lines.with_kept_lines(both, alone=alone, window=window).collect())
+    assert got == plain_lines([tuple(r) for r in keyed], window, alone) and sum(x[2] for x in got) >= 4
+
+
+def test_hot_lines_are_split(spark, monkeypatch):
+    from stratalog.llm import shared
+
+    monkeypatch.setattr(shared, "SHARES", 8)
+    rows = [(i, f"line {i}\nthe commonest of all lines in this table\nshort\nshort\nother {i % 3}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.withColumn("k", F.xxhash64("text")).collect()
+    assert Counter(tuple(r) for r in lines.with_kept_lines(df).collect()) == plain_lines([tuple(r) for r in keyed], 2, 32)
+
+
+@pytest.mark.parametrize("window", [2, 4, 8])
+def test_winnowing(spark, window):
+    """Each window has the fingerprint that is its least line, the first of several; there are about 2 / (window + 1) a line, and no more positions are joined."""
+    rng = random.Random(window)
+    texts = ["\n".join(f"line {rng.randrange(10**9)}" for _ in range(300)) for _ in range(4)] + ["q\nq\nq\nr", "one"]
     rows = lines.hashed(spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "ord long, key long, text string"))
-    places = Counter()
+    want = {}
     for r in rows.collect():
-        chosen = {min(range(i, i + lines.WINDOW), key=lambda k, own=r.line: (own[k], k)) for i in range(len(r.line) - lines.WINDOW + 1)}
-        places.update(r.line[k] for k in chosen)
-    w = lines.windows(rows)
-    assert Counter(r["print"] for r in w.collect()) != places == Counter(r["print"] for r in w.where("chosen").collect())
-    assert {r["print"] for r in lines.repeated_prints(w).collect()} == {k for k, n in places.items() if n > 1}
+        for i in range(len(r.line) - window + 1):
+            q = min(range(i, i + window), key=lambda k, own=r.line: (own[k], k))
+            want.setdefault((r.ord, q), []).append(i)
+    got = {(r.ord, r["at"]): r for r in lines.prints(rows, window).collect()}
+    assert {k: r.chosen_by for k, r in got.items()} == want
+    assert abs(len([k for k in got if k[0] < 4]) / 1200 - 2 / (window + 1)) < 0.06
+    by = {r.ord: r.line for r in rows.collect()}
+    for (o, q), r in got.items():
+        line = by[o]
+        assert r.print == line[q] and r.left == [line[q - d] if q >= d else None for d in range(1, window)]
+        assert r.right == [line[q + d] if q + d < len(line) else None for d in range(1, window)]
 
 
 def test_lines_of_none(none):
