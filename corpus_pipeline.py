@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import contamination, jaccard, lines, mixing, quality
-from stratalog.llm.shared import bounded, through_table
+from stratalog.llm.shared import bounded, new_folder, scratch
 
 #: Needs a trained classifier.
 ORACLE_SQL = None
@@ -33,8 +33,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     # the row travels as one column, whatever its names
-    kept = lines.with_kept_lines(docs.select("doc_id", "text", F.struct(*names).alias("_row")), ["_row"], lines.ALONE)
-    kept = kept.where((F.col("n_removed") == 0) | (F.trim(F.translate("kept", "\n", " ")) != ""))
+    kept = lines.with_kept_lines(docs.select("doc_id", "text", F.struct(*names).alias("_row")), ["_row"])
+    kept = kept.where((F.col("n_removed") == 0) | (F.trim("kept", F.lit(lines.BLANKS + "\n")) != ""))
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("_row.text")), "n_chars": F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col("_row.n_chars"))}
     return kept.select(*(new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names))
@@ -60,5 +60,9 @@ STAGES = [("quality", quality_stage), ("lines", lines_stage), ("near_copies", ne
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = through_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        at = new_folder(spark, f"pipeline-{name}")
+        with scratch():  # what a stage wrote on its way
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(at)
+        docs = spark.read.schema(out.schema).parquet(at)
     return STAGES[-1][1](spark, docs, sf_dir)
