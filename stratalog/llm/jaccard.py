@@ -16,12 +16,13 @@ thousands of near copies doesn't become all its pairs. First each list links its
 verifies gives provisional components. Then every list gives all pairs of members of different components, and those that
 verify complete the links: two texts left unlinked in one component change nothing, any others have been compared.
 
-Verification computes the intersection of the whole sets, of which 40 bits a shingle are sent; in two sets of 500, two different
-shingles are taken as equal once in four million pairs. The texts that take part are found by a Bloom filter of bounded size and an exact
-join; each sends its set to the groups that compare it, and a text with very many partners is split over several groups.
+Verification computes the intersection of the whole sets of 64-bit shingles. The texts that take part are found by a Bloom filter of
+bounded size and an exact join; each sends its set to the groups that compare it, and a text with very many partners is split
+over several groups.
 
-Equal texts are one node under a 64-bit content key (n texts clash n**2 / 2**65 times). A posting list is held by one task, at
-22 bytes a different text.
+Equal texts are one node under a 64-bit content key (n texts clash n**2 / 2**65 times), and so are shingles. A posting list is
+held by one task, at 26 bytes a different text. Results go from components to texts and from texts to rows by joins that split
+large components and large groups of copies over tasks.
 
 Defined cases: A-Z are lower-cased; a null, empty or blank text has no shingles, links with nothing and is its own component;
 fewer than WORDS words are one shingle; the component of documents that all have null ids is null; repeated rows are
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .kernel import U, WORD_BASE, gram_hashes, inside, mix, prefix, span_hash, text_chunks, word_hashes, words
 from .repeats import _new_texts, _split, by_key, deal, spread
-from .shared import bounded, partitions, through_table
+from .shared import bounded, join_spread, partitions, through_table
 
 WORDS, PERCENT = 5, 80
 CELLS_BITS, CHUNK_CELLS = 22, 1 << 16
@@ -49,9 +50,9 @@ CELLS = 1 << CELLS_BITS
 MATCHES = np.array([1, 2, 3, 4, 6, 8, 12, 16])
 #: Cost of a verification in postings read.
 VERIFY = 16.0
-FLUSH, PAIRS, SPLIT, BLOOM_BITS = 1_000_000, 2_000_000, 256, 26
-#: Bytes of a token in the sets that are compared.
-SENT = 5
+#: Pairs that one group compares.
+SPLIT = 64
+FLUSH, PAIRS, BLOOM_BITS = 1_000_000, 2_000_000, 26
 
 
 def lookup(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,7 +187,7 @@ def posting_lists(docs: DataFrame, classes: np.ndarray) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             g, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
-            items = list(_split(((g >> U(32)) % U(buckets)).astype(np.int64), (g & U(0xFFFFFFFF)).astype(np.uint32), *rest))
+            items = list(_split(((g >> U(32)) % U(buckets)).astype(np.int64), g, *rest))
             for a in range(0, len(items), 64):
                 few = items[a : a + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in few], pa.int32()), *(pa.array([c[i].tobytes() for _, c in few], pa.binary()) for i in range(5))], ["bucket", "token", "key", "n", "l", "central"])
@@ -210,11 +211,9 @@ def posting_lists(docs: DataFrame, classes: np.ndarray) -> DataFrame:
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[] for _ in LISTS]
         for b in batches:
-            for bucket, *packed in zip(*(b.column(c).to_pylist() for c in ("bucket", "token", "key", "n", "l", "central")), strict=True):
-                token = np.frombuffer(packed[0], np.uint32).astype(U) | U(bucket << 32)
-                cols[0].append(token)
-                for i in range(1, 5):
-                    cols[i].append(np.frombuffer(packed[i], LISTS[i][1]))
+            for packed in zip(*(b.column(c).to_pylist() for c in ("token", "key", "n", "l", "central")), strict=True):
+                for i, x in enumerate(packed):
+                    cols[i].append(np.frombuffer(x, LISTS[i][1]))
         if not cols[0]:
             return
         t, *rest = (np.concatenate(c) for c in cols)
@@ -437,17 +436,6 @@ def maybe(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def short(tokens: np.ndarray) -> bytes:
-    """The upper SENT bytes of each token."""
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - SENT :]).tobytes()
-
-
-def long(sent: bytes) -> np.ndarray:
-    out = np.zeros((len(sent) // SENT, 8), np.uint8)
-    out[:, 8 - SENT :] = np.frombuffer(sent, np.uint8).reshape(-1, SENT)
-    return out.reshape(-1).view("<u8")
-
-
 def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """A table of the pairs (a, b) that link; docs (key, text), pairs (a, b) of keys."""
     degree = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("d"))
@@ -465,7 +453,7 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
             b = _new_texts(b.filter(pa.array(maybe(wanted, b.column("key").to_numpy()))), seen)
             for a, z, buf, offs in text_chunks(b.column("text")):
                 g, first = shingles(buf, offs)
-                yield pa.RecordBatch.from_arrays([b.column("key")[a:z], pa.array([short(g[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["key", "tokens"])
+                yield pa.RecordBatch.from_arrays([b.column("key")[a:z], pa.array([g[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["key", "tokens"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -475,7 +463,7 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
                 if tokens is None:
                     todo.append((x, y))
                 elif x not in sets:
-                    sets[x] = long(tokens)
+                    sets[x] = np.frombuffer(tokens, U)
         out = []
         for x, y in todo:
             m, k = sets[x], sets[y]
@@ -500,9 +488,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     links = verified(rows, star_pairs(lists), "jaccard-star-links")
     more = verified(rows, cross_pairs(lists, components(links)), "jaccard-cross-links")
     labels = through_table(components(links.union(more)), "jaccard-labels")
-    named = sizes.where("part is null").join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", "n", F.coalesce("label", "key").alias("label"))
-    least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "label", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), "label", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    given = sizes.where("part is null").select("doc_id", "key", "n")
+    texts = given.groupBy("key").agg(F.first("n").alias("n_shingles"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
+    texts = texts.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    texts = through_table(texts, "jaccard-texts")
+    groups = texts.where("n_shingles > 0").groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("texts"))
+    named = join_spread(texts, through_table(groups, "jaccard-groups"), ["label"], "texts", ["key"], "left").drop("least", "texts")
+    out = join_spread(given.drop("n"), through_table(named, "jaccard-named"), ["key"], "rows", ["doc_id", "key"])
+    return out.select("doc_id", "key", "n_shingles", "label", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
