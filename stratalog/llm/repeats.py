@@ -6,17 +6,20 @@ that ship neither all windows nor all texts.
 1. Of the ``gram`` units long pieces of each window, the one with the least hash is its anchor. Equal windows have equal
    anchors, and a text has only about 2 / (length - gram) anchors a unit. Anchors that occur once in the corpus rule out all
    their windows (``repeated_anchors``).
-2. For anchors that occur again, the runs of windows below them are sent, with their units, to the group of the anchor.
-   Groups of more than ``HEAVY`` runs are split by lengthening the prefix that names the group to the whole window, where
-   counting suffices (``send``).
-3. Each group is solved in memory by the operator's own method, a suffix tree or a suffix array (``solve``), which answers
-   with ranges of window starts; these are gathered by document.
-
-Equal texts are handled once, under a 64-bit content key; n different texts are expected to clash n**2 / 2**65 times. Each
-Python task first merges what it holds: of equal texts, anchors or runs it sends one, so the hottest of them comes to
-one row a task, however many documents have it. Rows of the exchange are packed arrays, one for each task and bucket. The
-number of buckets follows spark.sql.shuffle.partitions. What the driver gets is the list of heavy anchors; as heavy means more
-than a millionth of all anchors, these are a million at most.
+2. For anchors that occur again, the runs of windows below them are sent, with their units, to the group of the anchor (``send``). An
+   anchor with more than ``HEAVY`` runs is split by prefixes of variable length: each of its windows goes to the group of its shortest
+   prefix, of the lengths in ``Scheme.ladder``, that at most HEAVY windows share (``crowded``); those that share even the longest, the whole
+   window, are one string.
+3. Each group is solved in memory by the operator's own structure, a suffix tree or a suffix array (``solve``), which says of each
+   window of each run whether it goes. Equal runs enter the structure once, with the number of places they stand for, and what the
+   structure says of a run is delivered to all its places (``deliver``): no window goes that the structure hasn't seen.
+
+Equal texts are handled once, under a 64-bit content key; n different texts are expected to clash n**2 / 2**65 times, and so are
+equal runs. Each Python task first merges what it holds: of equal texts, anchors or runs it sends one, so the hottest of them comes to
+one row a task, however many documents have it; the other places of a run wait in buckets of its hash, split in proportion
+to its anchor's weight. Rows of the exchange are packed arrays, one for each task and bucket. The number of buckets follows
+spark.sql.shuffle.partitions. What the driver gets are the heavy anchors and prefixes; as heavy means more than a millionth of all,
+these are a million at most.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import BYTE, BYTE_BASE, CHUNK, U, WORD_BASE, anchors, gram_hashes, inside, mix, prefix, sliding, span_hash, text_chunks, word_hashes, words
-from .shared import partitions, through_table
+from .kernel import BYTE, BYTE_BASE, U, WORD_BASE, anchors, gram_hashes, inside, mix, prefix, sliding, span_hash, text_chunks, word_hashes, words
+from .shared import join_spread, partitions, through_table
 
 HEAVY = 20_000
 #: Anchors, and bytes of runs, that a Python task gathers before it merges and sends them.
@@ -45,6 +49,8 @@ class Scheme:
     length: int
     gram: int
     code: str
+    #: Lengths of the prefixes that split heavy groups, the last that of a window.
+    ladder: tuple[int, ...]
 
     @property
     def width(self) -> int:
@@ -223,30 +229,54 @@ def repeated_anchors(rows: DataFrame, scheme: Scheme) -> DataFrame:
     return found.repartition(n, "bucket").mapInArrow(regroup, "key long, anchors binary, heavy binary")
 
 
-def heavy_anchors(found: DataFrame, n_anchors: int) -> np.ndarray:
-    """Anchors with more runs than a group may have: more than HEAVY, and than a millionth of all."""
-    out = [np.zeros(0, U)]
+@dataclass
+class Heavy:
+    """Anchors with more runs than a group may have, ascending, and how many; crowded: for each length of the ladder but the last, the prefixes (hashed with their anchor) that too many windows share, ascending."""
+
+    h: np.ndarray
+    weight: np.ndarray
+    crowded: list[np.ndarray]
+
+    def parts(self, h: np.ndarray) -> np.ndarray:
+        """Into how many parts the places of runs below anchors h are dealt."""
+        out = np.ones(len(h), np.int64)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            hit = self.h[at] == h
+            out[hit] = -(-self.weight[at[hit]] // HEAVY)
+        return out
+
+
+def heavy_anchors(found: DataFrame, n_anchors: int) -> Heavy:
+    """More than HEAVY, and than a millionth of all."""
+    hs, ws = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for r in found.where(F.octet_length("heavy") > 0).select("heavy").toLocalIterator():
         half = len(r.heavy) // 2
         h, n = np.frombuffer(r.heavy[:half], U), np.frombuffer(r.heavy[half:], np.int64)
-        out.append(h[n > max(HEAVY, n_anchors // 1_000_000)])
-    return np.sort(np.concatenate(out))
+        keep = n > max(HEAVY, n_anchors // 1_000_000)
+        hs.append(h[keep])
+        ws.append(n[keep])
+    h, w = np.concatenate(hs), np.concatenate(ws)
+    order = np.argsort(h)
+    return Heavy(h[order], w[order], [])
 
 
-#: Columns of a run of windows below one anchor.
-RUN = [("h", U), ("key", np.int64), ("ord", np.int64), ("start", np.uint32), ("n", np.uint16), ("twice", np.bool_)]
+#: Columns of a run of windows below one anchor. h: its group; code: a hash of its units; many: places that the sender knows of.
+RUN = [("h", U), ("code", U), ("key", np.int64), ("ord", np.int64), ("start", np.uint32), ("n", np.uint16), ("many", np.uint32), ("parts", np.uint32)]
 
 
 @dataclass
 class Runs:
-    """Runs of windows below one anchor each. body: their units one after the other, n + length - 1 a run (none in heavy groups, where n is 1)."""
+    """Runs of windows below one anchor each. body: their units one after the other, n + length - 1 a run."""
 
     h: np.ndarray
+    code: np.ndarray
     key: np.ndarray
     ord: np.ndarray
     start: np.ndarray
     n: np.ndarray
-    twice: np.ndarray
+    many: np.ndarray
+    parts: np.ndarray
     body: np.ndarray
 
     def take(self, own: np.ndarray, size: np.ndarray) -> Runs:
@@ -262,68 +292,101 @@ def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - start, size)
 
 
-def join_runs(parts: list[Runs], code: str) -> Runs:
-    if not parts:
-        return Runs(*(np.zeros(0, kind) for _, kind in RUN), np.zeros(0, code))
-    return Runs(*(np.concatenate([getattr(p, name) for p in parts]) for name in [*(name for name, _ in RUN), "body"]))
+#: solve(runs) of different runs: for each window whether it goes at the run's first place (key, start), and at its other places.
+Solver = Callable[[Runs], tuple[np.ndarray, np.ndarray]]
+
+
+def candidate_runs(scheme: Scheme, units: np.ndarray, first: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors, documents, first windows (in units) and windows of the runs whose anchor is wanted; units and first: a chunk of documents."""
+    low = scheme.lowest(units, first)
+    if not len(low):
+        return low, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[: len(low)]
+    begin = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))))
+    long = np.diff(np.concatenate((begin, [len(low)])))
+    hit = np.isin(low[begin], wanted) & (low[begin] != 0)
+    begin, long = begin[hit], long[hit]
+    pieces = -(-long // scheme.width)  # longer runs come from periodic text
+    begin, step = np.repeat(begin, pieces), np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    long = np.minimum(np.repeat(long, pieces) - step * scheme.width, scheme.width)
+    begin = begin + step * scheme.width
+    return low[begin], doc[begin], begin, long
 
 
-Solver = Callable[[Runs, Runs], tuple[np.ndarray, np.ndarray, np.ndarray]]
+def prefix_groups(scheme: Scheme, sums: np.ndarray, at: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
+    """Names of the windows at `at` by their anchor and first `length` units."""
+    return mix(span_hash(sums, at, at + length, scheme.base) ^ mix(anchor + U(length)))
 
 
-def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver, first_wins: bool) -> tuple[DataFrame, DataFrame]:
-    """(key, ranges binary) with the pairs [a, b) of window starts that solve picks, and (key, least, copies).
+def crowded(again: DataFrame, scheme: Scheme, heavy: Heavy, least: int) -> list[np.ndarray]:
+    """For each length of the ladder but the last, the prefixes of windows below heavy anchors that more than `least` windows share."""
+    steps = scheme.ladder[:-1]
 
-    solve(runs, solos) returns keys, starts and ends. first_wins: of equal windows, the one that comes first by (ord, key,
-    start) stays; else all of them are picked. Texts with copies are treated as their first copy.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, U), np.zeros(0, np.int64)) for _ in steps]
+        for b in batches:
+            for _, _, buf, offs in text_chunks(b.column("text")):
+                units, first = scheme.units(buf, offs)
+                h, _, begin, long = candidate_runs(scheme, units, first, heavy.h)
+                at, anchor, sums = spread(begin, long), np.repeat(h, long), prefix(units, scheme.base)
+                for i, length in enumerate(steps):
+                    names, n = np.unique(prefix_groups(scheme, sums, at, anchor, length), return_counts=True)
+                    names, back = np.unique(np.concatenate((have[i][0], names)), return_inverse=True)
+                    have[i] = names, np.bincount(back, np.concatenate((have[i][1], n)), len(names)).astype(np.int64)
+                    if len(names) > FLUSH_ANCHORS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), i), pa.int32()), pa.array(names.view(np.int64)), pa.array(have[i][1])], ["step", "name", "n"])
+                        have[i] = np.zeros(0, U), np.zeros(0, np.int64)
+        for i, (names, n) in enumerate(have):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), i), pa.int32()), pa.array(names.view(np.int64)), pa.array(n)], ["step", "name", "n"])
+
+    counts = again.select("text").mapInArrow(count, "step int, name long, n long").groupBy("step", "name").agg(F.sum("n").alias("n"))
+    out: list[list[int]] = [[] for _ in steps]
+    for r in counts.where(F.col("n") > least).select("step", "name").toLocalIterator():
+        out[r.step].append(r.name)
+    return [np.sort(np.array(x, np.int64).view(U)) for x in out]
+
+
+def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver) -> tuple[DataFrame, DataFrame]:
+    """(key, ranges binary) with the pairs [a, b) of window starts that solve picks, and a table of (key, least, copies).
+
+    Texts with copies are treated as their first copy.
     """
     spark = rows.sparkSession
     n = partitions(spark)
     buckets = 4 * n
-    copies = rows.groupBy("key").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("copies"))
+    copies = through_table(rows.groupBy("key").agg(F.min("ord").alias("least"), F.count(F.lit(1)).alias("copies")), "copies")
     found = through_table(repeated_anchors(rows, scheme), "anchors")
     n_anchors = found.select(F.coalesce(F.sum(F.octet_length("anchors")), F.lit(0))).first()[0] // 8
+    again = found.where(F.octet_length("anchors") > 0).select("key", "anchors").join(copies, "key")
+    given = join_spread(rows.select("ord", "key", "text"), again, ["key"], "copies", ["ord"])
     heavy = heavy_anchors(found, n_anchors)
-    again = found.where(F.octet_length("anchors") > 0).select("key", "anchors").join(copies.select("key", "least"), "key")
-    packed = {**{f"r_{x}": kind for x, kind in RUN}, "body": np.dtype(scheme.code), **{f"s_{x}": kind for x, kind in RUN}, "k": np.int64, "a": np.uint32, "z": np.uint32}
+    if len(heavy.h):
+        heavy.crowded = crowded(given, scheme, heavy, max(HEAVY, n_anchors // 1_000_000))
+    kinds = {**{f"r_{x}": kind for x, kind in RUN}, "body": np.dtype(scheme.code)}
+    places = {"c_code": U, "c_key": np.int64, "c_start": np.uint32}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         parts: list[Runs] = []
-        solos: list[Runs] = []
         held: list[np.ndarray] = []  # the chunks' units; body of a run in parts: where its own begin
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            out: dict[int, dict[str, bytes]] = {}
-            sure: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            units = np.concatenate(held) if held else np.zeros(0, scheme.code)
-            for name, group in (("r", join_runs([g for g, _ in parts], "<i8")), ("s", join_runs(solos, "<i8"))):
-                if not len(group.h):
-                    continue
-                code = np.concatenate([c for _, c in parts]) if name == "r" else group.h
-                # one of equal runs is sent: the first of them
-                order = np.lexsort((group.start, group.key, group.ord, code))
-                new = np.concatenate(([True], code[order][1:] != code[order][:-1]))
-                count = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
-                rest = order[~new] if first_wins else order[np.repeat(count > 1, count)]
-                sure.append((group.key[rest], group.start[rest], group.start[rest] + group.n[rest]))
-                group.twice[order[new]] = count > 1
-                own = order[new]
-                for b, (i,) in _split((mix(group.h[own]) % U(buckets)).astype(np.int64), own):
-                    got = out.setdefault(b, {})
-                    got |= {f"{name}_{x}": getattr(group, x)[i].tobytes() for x, _ in RUN}
-                    if name == "r":
-                        got["body"] = units[spread(group.body[i], group.n[i].astype(np.int64) + scheme.length - 1)].tobytes()
-            if sure:
-                cols = [np.concatenate(x) for x in zip(*sure, strict=True)]
-                for b, (k, a, z) in _split(key_buckets(cols[0], buckets), *cols):
-                    out.setdefault(b, {}).update(k=k.tobytes(), a=a.astype(np.uint32).tobytes(), z=z.astype(np.uint32).tobytes())
-            items = list(out.items())
-            for a in range(0, len(items), 32):
-                few = items[a : a + 32]
-                yield packed_rows([b for b, _ in few], {c: [x.get(c) for _, x in few] for c in packed}, {})
-            for x in (parts, solos, held, seen):
+            units = np.concatenate(held)
+            r = Runs(*(np.concatenate([getattr(p, name) for p in parts]) for name in [*(name for name, _ in RUN), "body"]))
+            # of equal runs the first is sent, the other places wait for what is said of it
+            order = np.lexsort((r.start, r.key, r.ord, r.code))
+            new = np.concatenate(([True], r.code[order][1:] != r.code[order][:-1]))
+            own, rest = order[new], order[~new]
+            r.many[own] = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
+            for b, (i,) in _split((mix(r.h[own]) % U(buckets)).astype(np.int64), own):
+                cols = {f"r_{x}": [getattr(r, x)[i].tobytes()] for x, _ in RUN}
+                cols["body"] = [units[spread(r.body[i], r.n[i].astype(np.int64) + scheme.length - 1)].tobytes()]
+                yield packed_rows([b], cols, {c: [None] for c in places})
+            part = mix(r.key[rest].view(U)) % r.parts[rest].astype(U)
+            for b, cols in _split((mix(r.code[rest] + part) % U(buckets)).astype(np.int64), r.code[rest], r.key[rest], r.start[rest]):
+                yield packed_rows([b], {c: [None] for c in kinds}, {c: [x.tobytes()] for c, x in zip(places, cols, strict=True)})
+            for x in (parts, held, seen):
                 x.clear()
 
         for b in batches:
@@ -331,53 +394,86 @@ def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver, first_wins:
             keys, order, lists = b.column("key").to_numpy(), b.column("least").to_numpy(), b.column("anchors")
             for a, z, buf, offs in text_chunks(b.column("text")):
                 units, first = scheme.units(buf, offs)
-                low = scheme.lowest(units, first)
-                if not len(low):
-                    continue
-                doc = np.repeat(np.arange(z - a), np.diff(first))[: len(low)]
-                begin = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))))
-                long = np.diff(np.concatenate((begin, [len(low)])))
-                wanted = np.frombuffer(b"".join(lists[a:z].to_pylist()), U)
-                hit = np.isin(low[begin], wanted) & (low[begin] != 0)
-                begin, long = begin[hit], long[hit]
-                if not len(begin):
+                h, doc, begin, long = candidate_runs(scheme, units, first, np.frombuffer(b"".join(lists[a:z].to_pylist()), U))
+                if not len(h):
                     continue
-                pieces = -(-long // scheme.width)  # longer runs come from periodic text
-                begin, step = np.repeat(begin, pieces), np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                long = np.minimum(np.repeat(long, pieces) - step * scheme.width, scheme.width)
-                begin = begin + step * scheme.width
-                d = doc[begin]
+                sums, share = prefix(units, scheme.base), heavy.parts(h)
+                is_heavy = np.isin(h, heavy.h)
+                if is_heavy.any():  # window by window, each in the group of its prefix
+                    at, anchor = spread(begin[is_heavy], long[is_heavy]), np.repeat(h[is_heavy], long[is_heavy])
+                    name, left = np.zeros(len(at), U), np.ones(len(at), bool)
+                    for i, length in enumerate(scheme.ladder):
+                        own = np.flatnonzero(left)
+                        names = prefix_groups(scheme, sums, at[own], anchor[own], length)
+                        fits = ~np.isin(names, heavy.crowded[i]) if length < scheme.length else np.ones(len(own), bool)
+                        name[own[fits]] = names[fits]
+                        left[own[fits]] = False
+                    many = long[is_heavy]
+                    h, doc, share = (np.concatenate((x[~is_heavy], y)) for x, y in ((h, name), (doc, np.repeat(doc[is_heavy], many)), (share, np.repeat(share[is_heavy], many))))
+                    begin, long = np.concatenate((begin[~is_heavy], at)), np.concatenate((long[~is_heavy], np.ones(len(at), np.int64)))
+                code = mix(span_hash(sums, begin, begin + long + scheme.length - 1, scheme.base) ^ mix(h))
                 base = sum(map(len, held))
-                whole = Runs(low[begin], keys[a + d], order[a + d], (begin - first[d]).astype(np.uint32), long.astype(np.uint16), np.zeros(len(begin), bool), base + begin)
-                is_heavy = np.isin(whole.h, heavy)
-                if is_heavy.any():
-                    w = gram_hashes(units, scheme.length, scheme.base)
-                    at = spread(begin[is_heavy], long[is_heavy])
-                    d = doc[at]
-                    solos.append(Runs(mix(w[at] ^ low[at]), keys[a + d], order[a + d], (at - first[d]).astype(np.uint32), np.ones(len(at), np.uint16), np.zeros(len(at), bool), np.zeros(len(at), np.int64)))
-                    size += 40 * len(at)
-                own = np.flatnonzero(~is_heavy)
-                sums = prefix(units, scheme.base)
-                parts.append((Runs(*(getattr(whole, x)[own] for x in (*(x for x, _ in RUN), "body"))), span_hash(sums, begin[own], begin[own] + long[own] + scheme.length - 1, scheme.base)))
+                parts.append(Runs(h, code, keys[a + doc], order[a + doc], (begin - first[doc]).astype(np.uint32), long.astype(np.uint16), np.ones(len(h), np.uint32), share.astype(np.uint32), base + begin))
                 held.append(scheme.codes(units, buf))
-                size += held[-1].nbytes + 48 * len(own)
-            if size >= FLUSH_BYTES:
+                size += held[-1].nbytes + 64 * len(h)
+            if size >= FLUSH_BYTES and parts:
                 yield from flush()
                 size = 0
-        if size:
+        if parts:
             yield from flush()
 
+    names = ["k", "a", "z", "code", "wait", "wait_k", "wait_a"]
+
+    def row(bucket: int, **columns: np.ndarray) -> pa.RecordBatch:
+        return packed_rows([bucket], {c: [columns[c].tobytes() if c in columns else None] for c in names}, {})
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full, _ = unpack(batches, packed)
-        k, a, z = full[-3:]
-        normal, solo = Runs(*full[: len(RUN) + 1]), Runs(*full[len(RUN) + 1 : -3], np.zeros(0, np.uint8))
-        normal, solo = _once(normal, normal.n.astype(np.int64) + scheme.length - 1), _once(solo, np.zeros(len(solo.h), np.int64))
-        if first_wins:
-            normal, more = _first_only(normal, scheme)
-            k, a, z = (np.concatenate(x) for x in zip((k, a, z), more, strict=True))
-        found = solve(normal, solo)
-        k, a, z = (np.concatenate(x) for x in zip((k, a, z), found, strict=True))
-        yield from deal(key_buckets(k, buckets), {"k": k, "a": a.astype(np.uint32), "z": z.astype(np.uint32)}, ())
+        mine: list[pa.RecordBatch] = []
+        for b in batches:
+            waits = b.column("c_code").is_valid()
+            own = b.filter(waits)
+            if own.num_rows:
+                nulls = [pa.nulls(own.num_rows, pa.binary())] * 4
+                yield pa.RecordBatch.from_arrays([own.column("bucket"), *nulls, *(own.column(c) for c in places)], ["bucket", *names])
+            mine.append(b.filter(pc.invert(waits)))
+        full, _ = unpack(mine, kinds)
+        mine.clear()
+        every = Runs(*full)
+        if not len(every.h):
+            return
+        # what several tasks have sent as equal is one run, which stands first where the first of them does
+        order = np.lexsort((every.start, every.key, every.ord, every.code))
+        code, key, start = every.code[order], every.key[order], every.start[order]
+        new = np.concatenate(([True], code[1:] != code[:-1]))
+        begin, of = np.flatnonzero(new), np.cumsum(new) - 1
+        fresh = new.copy()  # a text that several tasks have sent counts once
+        fresh[1:] |= (key[1:] != key[:-1]) | (start[1:] != start[:-1])
+        waiting = np.maximum.reduceat(every.many[order], begin) > 1
+        runs = every.take(order[new], every.n.astype(np.int64) + scheme.length - 1)
+        runs.many = np.maximum(np.maximum.reduceat(every.many[order], begin), np.add.reduceat(fresh.astype(np.int64), begin))
+        here, there = solve(runs)
+        n_of = runs.n.astype(np.int64)
+        rest = np.flatnonzero(fresh & ~new)  # other places that came with units
+        picked = there[spread((np.cumsum(n_of) - n_of)[of[rest]], n_of[of[rest]])]
+        found = [window_ranges(runs.key, runs.start, n_of, here), window_ranges(key[rest], start[rest], n_of[of[rest]], picked)]
+        k, a, z = (np.concatenate(x) for x in zip(*found, strict=True))
+        for b, cols in _split(key_buckets(k, buckets), k, a.astype(np.uint32), z.astype(np.uint32)):
+            yield row(b, **dict(zip(("k", "a", "z"), cols, strict=True)))
+        # what is said of runs with places that wait, once for each part of these
+        copy, low, high = window_ranges(np.arange(len(n_of)), np.zeros(len(n_of), np.int64), n_of, there & np.repeat(waiting, n_of))
+        parts = runs.parts[copy].astype(np.int64)
+        part, at = spread(np.zeros(len(copy), np.int64), parts), np.repeat(np.arange(len(copy)), parts)
+        told = runs.code[copy][at]
+        for b, cols in _split((mix(told + part.astype(U)) % U(buckets)).astype(np.int64), told, low[at].astype(np.uint32), high[at].astype(np.uint32)):
+            yield row(b, **dict(zip(("code", "a", "z"), cols, strict=True)))
+
+    def deliver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (code, a, z, wait, key, start), _ = unpack(batches, {"code": U, "a": np.uint32, "z": np.uint32, "wait": U, "wait_k": np.int64, "wait_a": np.uint32})
+        order = np.argsort(code)
+        code, a, z = code[order], a[order].astype(np.int64), z[order].astype(np.int64)
+        low, high = np.searchsorted(code, wait, "left"), np.searchsorted(code, wait, "right")
+        at, of = spread(low, high - low), np.repeat(np.arange(len(wait)), high - low)
+        yield from deal(key_buckets(key[of], buckets), {"k": key[of], "a": (start[of] + a[at]).astype(np.uint32), "z": (start[of] + z[at]).astype(np.uint32)}, ())
 
     def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (k, a, z), _ = unpack(batches, {"k": np.int64, "a": np.uint32, "z": np.uint32})
@@ -386,56 +482,18 @@ def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver, first_wins:
             x, y = zip(*out[i : i + 5_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.binary())], ["key", "ranges"])
 
-    sent = rows.join(again, "key").select("doc_id", "ord", "key", "text", "least", "anchors").mapInArrow(send, ", ".join(["bucket int", *(f"{x} binary" for x in packed)]))
-    ranges = sent.repartition(n, "bucket").mapInArrow(answer, "bucket int, k binary, a binary, z binary")
+    packed = lambda columns: ", ".join(["bucket int", *(f"{c} binary" for c in columns)])
+    sent = given.select("key", "text", "least", "anchors").mapInArrow(send, packed([*kinds, *places]))
+    answered = through_table(sent.repartition(n, "bucket").mapInArrow(answer, packed(names)), "answers")
+    delivered = answered.where("k is null").select("bucket", *names[1:]).repartition(n, "bucket").mapInArrow(deliver, packed(names[:3]))
+    ranges = answered.where("k is not null").select("bucket", *names[:3]).union(delivered)
     return ranges.repartition(n, "bucket").mapInArrow(regroup, "key long, ranges binary"), copies
 
 
-def _run_hashes(body: np.ndarray, size: np.ndarray, scheme: Scheme) -> np.ndarray:
-    """A hash of the units of each run, by slices that bound what is held beside them."""
-    at, out, a = np.concatenate(([0], np.cumsum(size))), np.zeros(len(size), U), 0
-    while a < len(size):
-        z = max(a + 1, int(np.searchsorted(at, at[a] + (CHUNK >> 1), "right")) - 1)
-        own = body[at[a] : at[z]]
-        sums = prefix(BYTE[own] if scheme.unit == "byte" else mix(own.astype(U) + U(1)), scheme.base)
-        out[a:z] = span_hash(sums, at[a:z] - at[a], at[a + 1 : z + 1] - at[a], scheme.base)
-        a = z
-    return out
-
-
-def _first_only(r: Runs, scheme: Scheme) -> tuple[Runs, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of runs with equal units the first, and the ranges of the others."""
-    if not len(r.h):
-        return r, (r.key, r.start, r.start)
-    size = r.n.astype(np.int64) + scheme.length - 1
-    code = _run_hashes(r.body, size, scheme)
-    order = np.lexsort((r.start, r.key, r.ord, code))
-    new = np.concatenate(([True], code[order][1:] != code[order][:-1]))
-    rest = order[~new]
-    return r.take(order[new], size), (r.key[rest], r.start[rest], r.start[rest] + r.n[rest])
-
-
-def _once(r: Runs, size: np.ndarray) -> Runs:
-    """A text that several tasks have sent counts once."""
-    if not len(r.h):
-        return r
-    order = np.lexsort((r.start, r.key))
-    same = np.concatenate(([False], (r.start[order][1:] == r.start[order][:-1]) & (r.key[order][1:] == r.key[order][:-1])))
-    if not same.any():
-        return r
-    group = np.cumsum(~same) - 1
-    twice = np.zeros(group[-1] + 1, bool)
-    np.logical_or.at(twice, group, r.twice[order])
-    own = order[~same]
-    out = r.take(own, size)
-    out.twice = twice
-    return out
-
-
 def with_ranges(rows: DataFrame, ranges: DataFrame, copies: DataFrame) -> DataFrame:
     """doc_id, ord, key, text, least, copies, ranges for every row."""
-    facts = copies.join(ranges, "key", "left")
-    return rows.join(facts, "key", "left").select("doc_id", "ord", "key", "text", "least", "copies", "ranges")
+    facts = through_table(copies.join(ranges, "key", "left"), "ranges")
+    return join_spread(rows, facts, ["key"], "copies", ["ord"]).select("doc_id", "ord", "key", "text", "least", "copies", "ranges")
 
 
 def cover(ranges: bytes | None, length: int, n: int) -> np.ndarray:
@@ -448,20 +506,6 @@ def cover(ranges: bytes | None, length: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def solo_picks(solo: Runs, first_wins: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of heavy groups: their whole content names the group, so equal names are equal windows."""
-    if not len(solo.h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((solo.start, solo.key, solo.ord, solo.h))
-    new = np.concatenate(([True], solo.h[order][1:] != solo.h[order][:-1]))
-    if first_wins:
-        own = order[~new]
-    else:
-        count = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
-        own = order[np.repeat((count > 1) | np.logical_or.reduceat(solo.twice[order], np.flatnonzero(new)), count)]
-    return solo.key[own], solo.start[own].astype(np.int64), solo.start[own].astype(np.int64) + 1
-
-
 def window_ranges(key: np.ndarray, start: np.ndarray, n: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of the picked windows; picked has n entries for each run."""
     run = np.repeat(np.arange(len(n)), n)

@@ -1,11 +1,11 @@
 """Operator 1: removal of repeated word sequences, by prefix-partitioned suffix trees.
 
 A suffix starts at each word that begins a window of ``LENGTH`` words; only suffixes below an anchor that occurs again are
-built (``repeats``). Prefixes of variable length split them into groups that fit in memory: the anchor's words, or the whole
-window for anchors with very many suffixes, and inside a task as many whole groups as ``GROUP`` suffixes allow. Each group
-grows its own tree from the root, an edge of ``EDGE`` words at a time; a branch that one suffix is left on is cut off at once,
-so what reaches depth ``LENGTH`` are the leaves below deep internal nodes, the repeats. Adjacent ones join to maximal repeats.
-A node whose prefix is the whole window is deep by itself, and counting its suffixes is enough.
+built (``repeats``). They are split into groups that fit in memory: by the anchor, and below anchors with very many suffixes by
+prefixes whose length varies with how many suffixes share them. In a task as many whole groups as ``GROUP`` suffixes allow are
+grown at once, each from its own root, an edge of ``EDGE`` words at a time. ``Tree`` keeps the inner nodes; a branch that
+stands for one place is a leaf and grows no further. The suffixes below inner nodes of depth ``LENGTH`` are the repeats; those that start side by
+side join to maximal repeats, the spans that ``deduplicated`` returns.
 
 Words are compared as 32-bit codes below an equal 64-bit anchor hash; two windows that differ in one word are taken as equal
 once in 2**32 such pairs.
@@ -20,63 +20,91 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .kernel import U, gram_hashes, mix, text_chunks, words
-from .repeats import Runs, Scheme, cover, keyed, repeated_ranges, solo_picks, spread, window_ranges, with_ranges
-from .shared import bounded
+from .kernel import U, gram_hashes, mix, runs as runs_of, text_chunks, words
+from .repeats import Runs, Scheme, cover, keyed, repeated_ranges, spread, with_ranges
+from .shared import batch, bounded
 
 LENGTH, EDGE = 35, 5
-WORDS = Scheme("word", LENGTH, 12, "<u4")
+WORDS = Scheme("word", LENGTH, 12, "<u4", (17, 23, 29, LENGTH))
 #: Suffixes whose trees are grown at once.
 GROUP = 1_000_000
-OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
+OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.list_(pa.int64()))])
 
 
-def deep_leaves(root: np.ndarray, at: np.ndarray, edges: np.ndarray, weight: np.ndarray, levels: int, edge: int) -> np.ndarray:
-    """Which suffixes lie below a node of depth levels * edge with two leaves or more.
+@dataclass
+class Tree:
+    """The inner nodes of a group's suffix tree, level by level: depth in words, parent (a node's number, -1 for the root's children), and the places that the leaves below stand for.
 
-    root: the group of each suffix; at: where its units begin; edges[i]: hash of the edge of units from i on; weight: leaves it stands for.
+    node: of each suffix the deepest inner node above it; a suffix below a node of depth LENGTH repeats.
     """
-    node, alive = mix(root), np.arange(len(at))
+
+    depth: np.ndarray
+    parent: np.ndarray
+    places: np.ndarray
+    node: np.ndarray
+
+    def deep(self, depth: int) -> np.ndarray:
+        """Which suffixes lie below an inner node of that depth."""
+        return np.concatenate((self.depth, [0]))[self.node] >= depth
+
+
+def grow(root: np.ndarray, at: np.ndarray, edges: np.ndarray, weight: np.ndarray, levels: int, edge: int) -> Tree:
+    """The tree of suffixes, grown by an edge of units at a time; a branch that stands for one place is a leaf and grows no further.
+
+    root: the group of each suffix; at: where its units begin; edges[i]: hash of the edge of units from i on; weight: places it stands for.
+    """
+    name, alive, above = mix(root), np.arange(len(at)), np.full(len(at), -1)
+    depth, parent, places, size = [], [], [], 0
+    deepest = np.full(len(at), -1)
     for level in range(levels):
-        node = mix(node + edges[at[alive] + level * edge] * U(0x9E3779B97F4A7C15))
-        order = np.argsort(node)
-        new = np.concatenate(([True], node[order][1:] != node[order][:-1])) if len(order) else np.zeros(0, bool)
-        leaves = np.add.reduceat(weight[alive[order]], np.flatnonzero(new)) if len(order) else np.zeros(0, int)
-        inner = np.zeros(len(order), bool)
-        inner[order] = (leaves > 1)[np.cumsum(new) - 1] if len(order) else False
-        node, alive = node[inner], alive[inner]
-    picked = np.zeros(len(at), bool)
-    picked[alive] = True
-    return picked
-
-
-def solve(runs: Runs, solos: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of the windows that occur again, in any document."""
-    found = [solo_picks(solos, first_wins=False)]
-    if len(runs.h):
-        n = runs.n.astype(np.int64)
-        size = n + LENGTH - 1
-        runs = runs.take(order := np.argsort(runs.h, kind="stable"), size)
-        n, size = n[order], size[order]
-        edges = gram_hashes(mix(runs.body.astype(U) + U(1)), EDGE)
-        at = np.cumsum(size) - size
-        ends = np.flatnonzero(np.concatenate((runs.h[1:] != runs.h[:-1], [True]))) + 1  # of groups
-        many = np.cumsum(n)[ends - 1]
-        a = 0
-        while a < len(n):
-            have = many[ends == a][0] if a else 0
-            z = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(many, have + GROUP, "right") - 1)])
-            own = slice(a, z)
-            run = np.repeat(np.arange(a, z), n[own])
-            picked = deep_leaves(runs.h[run], spread(at[own], n[own]), edges, 1 + runs.twice[run].astype(np.int64), LENGTH // EDGE, EDGE)
-            found.append(window_ranges(runs.key[own], runs.start[own], n[own], picked))
-            a = z
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        name = mix(name + edges[at[alive] + level * edge] * U(0x9E3779B97F4A7C15))
+        order = np.argsort(name)
+        if not len(order):
+            break
+        new = np.concatenate(([True], name[order][1:] != name[order][:-1]))
+        begin, child = np.flatnonzero(new), np.cumsum(new) - 1
+        leaves = np.add.reduceat(weight[alive[order]], begin)
+        inner = leaves > 1
+        number = np.where(inner, size + np.cumsum(inner) - 1, -1)
+        depth.append(np.full(int(inner.sum()), (level + 1) * edge))
+        parent.append(above[alive[order[begin]]][inner])
+        places.append(leaves[inner])
+        size += int(inner.sum())
+        own = np.full(len(order), -1)
+        own[order] = number[child]
+        keep = own >= 0
+        name, alive = name[keep], alive[keep]
+        above[alive] = deepest[alive] = own[keep]
+    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+    return Tree(cat(depth), cat(parent), cat(places), deepest)
+
+
+def solve(runs: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows occur again, in any document: those below a deep node. A run's places share that."""
+    n = runs.n.astype(np.int64)
+    size = n + LENGTH - 1
+    order = np.argsort(runs.h, kind="stable")
+    edges = gram_hashes(mix(runs.body.astype(U) + U(1)), EDGE)
+    at, first = np.cumsum(size) - size, np.cumsum(n) - n
+    picked = np.zeros(int(n.sum()), bool)
+    ends = np.flatnonzero(np.concatenate((runs.h[order][1:] != runs.h[order][:-1], [True]))) + 1 if len(order) else np.zeros(0, int)  # of groups
+    many = np.cumsum(n[order])[ends - 1]
+    a = 0
+    while a < len(n):
+        have = many[np.searchsorted(ends, a)] if a else 0
+        z = int(ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(many, have + GROUP, "right") - 1)])
+        own = order[a:z]
+        run = np.repeat(own, n[own])
+        tree = grow(runs.h[run], spread(at[own], n[own]), edges, runs.many[run].astype(np.int64), LENGTH // EDGE, EDGE)
+        picked[spread(first[own], n[own])] = tree.deep(LENGTH)
+        a = z
+    return picked, picked
 
 
 def kept_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -98,9 +126,9 @@ def kept_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.nd
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept for each row of docs (doc_id, text)."""
+    """doc_id, n_words, n_removed, kept_sha256, kept and spans (first word, end, first word, end, ... of the maximal repeats) for each row of docs (doc_id, text)."""
     rows = keyed(docs)
-    ranges, copies = repeated_ranges(rows, WORDS, solve, first_wins=False)
+    ranges, copies = repeated_ranges(rows, WORDS, solve)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -117,9 +145,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 text, at = kept_words(buf, start, end, first, keep)
                 kept = np.diff(np.concatenate(([0], np.cumsum(keep)))[first])
                 parts = [text[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[a:z], pa.array(n, pa.int64()), pa.array(n - kept, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in parts]), pa.array(parts, pa.binary()).cast(pa.string())], OUT.names)
+                spans = [np.stack(runs_of(~keep[x:y]), 1).ravel() for x, y in zip(first[:-1], first[1:], strict=True)]
+                hashes = [hashlib.sha256(x).hexdigest() for x in parts]
+                yield batch(OUT, [b.column("doc_id")[a:z], n, n - kept, hashes, pa.array(parts, pa.binary()).cast(pa.string()), spans])
 
-    return with_ranges(rows, ranges, copies).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return with_ranges(rows, ranges, copies).mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Operator 4: removal of byte strings that occur earlier, by suffix arrays.
 
 Suffixes are the windows of ``LENGTH`` bytes below an anchor that occurs again (``repeats``); those of one anchor go to one
-task. There the runs of windows are put in document order and cut into shards. Each shard gets its own suffix array by
-Larsson-Sadakane refinement: suffixes are ranked by their first 8 bytes, and ranks double in depth by pairing a suffix's rank
-with that of the suffix so many bytes on, where only groups that are still tied are sorted again. Kasai's rule, that the common
-prefix with the suffix before shrinks by one byte at most from one position to the next, then gives the common prefixes, for
-all runs in step. Neighbours with a common prefix of LENGTH are one string. Shards are merged in order: the fingerprint of
-each distinct string is looked up by binary search in the sorted fingerprints of the shards before, and joins them if absent.
+task. There the runs of windows are put in document order inside their group and cut into shards, of whole groups where they fit. Each
+shard gets its own suffix array by Larsson-Sadakane refinement: suffixes are ranked by their first 8 bytes, and ranks double in
+depth by pairing a suffix's rank with that of the suffix so many bytes on, where only groups that are still tied are sorted again, up to LENGTH
+bytes, beyond which order doesn't matter here. Kasai's rule, that the common prefix with the suffix before shrinks by one byte at most from one position to
+the next, then gives the common prefixes, for all runs in step. Neighbours with a common prefix of LENGTH are one string. The
+shards of a group are merged in document order: each different string is sought by binary search in the suffix arrays of the
+shards before, byte by byte.
 
 Defined cases: bytes are those of the whole text in UTF-8; a null or empty text has none and its hash is that of the empty
 string; documents are ordered by doc_id, null before all, then by a hash of the text, so that of different texts under one
@@ -24,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .kernel import BYTE, BYTE_BASE, gram_hashes, runs, text_chunks
-from .repeats import Runs, Scheme, cover, keyed, repeated_ranges, solo_picks, spread, window_ranges, with_ranges
+from .kernel import runs, text_chunks
+from .repeats import Runs, Scheme, cover, keyed, repeated_ranges, spread, with_ranges
 from .shared import bounded
 
 LENGTH = 100
-BYTES = Scheme("byte", LENGTH, 32, "u1")
+BYTES = Scheme("byte", LENGTH, 32, "u1", (48, 64, 80, LENGTH))
 #: Bytes of a shard.
 SHARD = 1 << 20
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -118,39 +119,85 @@ def common_prefixes(text: np.ndarray, begin: np.ndarray, order: np.ndarray, n: n
     return out
 
 
-def solve(given: Runs, solos: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges of the windows that occur earlier."""
-    found = [solo_picks(solos, first_wins=True)]
+def eights(text: np.ndarray) -> np.ndarray:
+    """first_eight of every position, zeros behind the end."""
+    return first_eight(np.concatenate((text, np.zeros(8, np.uint8))))[: len(text)]
+
+
+def below(mine: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, length: int, or_equal: bool) -> np.ndarray:
+    """Whether the `length` bytes at other's positions `there` come before those at mine's positions `at` (or are equal); mine and other as eights."""
+    out, open_ = np.full(len(at), or_equal), np.arange(len(at))
+    for k in range(0, length, 8):
+        k = min(k, length - 8)  # the last word overlaps the one before
+        x, y = mine[at[open_] + k], other[there[open_] + k]
+        out[open_[x != y]] = (y < x)[x != y]
+        open_ = open_[x == y]
+        if not len(open_):
+            break
+    return out
+
+
+def placed(mine: np.ndarray, at: np.ndarray, other: np.ndarray, array: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the suffixes at `at` belong in another shard's array, by binary search with their bytes, and whether they stand there already."""
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(array), np.int64)
+    while (busy := np.flatnonzero(low < high)).size:
+        mid = (low[busy] + high[busy]) // 2
+        less = below(mine, at[busy], other, array[mid], length, or_equal=False)
+        low[busy[less]] = mid[less] + 1
+        high[busy[~less]] = mid[~less]
+    there = np.flatnonzero(low < len(array))
+    found = np.zeros(len(at), bool)
+    at_or_after = array[low[there]]
+    found[there] = below(mine, at[there], other, at_or_after, length, or_equal=True) & ~below(mine, at[there], other, at_or_after, length, or_equal=False)
+    return low, found
+
+
+def solve(given: Runs) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows occur earlier: at a run's first place those that aren't the first of their string, at its other places all, for the first place stands before them.
+
+    A shard takes whole groups, as strings of different anchors differ; a group above SHARD is cut in document order into several
+    shards, and those are merged.
+    """
     size = given.n.astype(np.int64) + LENGTH - 1
-    order = np.lexsort((given.start, given.key, given.ord))
-    given, size = given.take(order, size), size[order]
-    n, at = given.n.astype(np.int64), np.concatenate(([0], np.cumsum(size)))
-    known = np.zeros(0, np.uint64)
+    order = np.lexsort((given.start, given.key, given.ord, given.h))
+    runs = given.take(order, size)
+    size, n = size[order], runs.n.astype(np.int64)
+    at, first = np.concatenate(([0], np.cumsum(size))), np.concatenate(([0], np.cumsum(n)))
+    ends = np.flatnonzero(np.concatenate((runs.h[1:] != runs.h[:-1], [True]))) + 1 if len(n) else np.zeros(0, int)
+    picked = np.ones(int(n.sum()), bool)
+    known: list[tuple[np.ndarray, np.ndarray]] = []  # eights and array of the shards of this group before
     a = 0
     while a < len(n):
-        z = max(a + 1, int(np.searchsorted(at, at[a] + SHARD, "right")) - 1)
-        text = given.body[at[a] : at[z]]
+        whole = int(ends[np.searchsorted(ends, a, "right")])  # of the group of a
+        fit = max(a + 1, int(np.searchsorted(at, at[a] + SHARD, "right")) - 1)
+        z = int(ends[np.searchsorted(ends, fit, "right") - 1]) if fit >= whole else fit
+        text = runs.body[at[a] : at[z]]
         begin, sa = suffix_array(text, size[a:z], n[a:z], LENGTH)
         new = common_prefixes(text, begin, sa, n[a:z], LENGTH)[sa] < LENGTH
         new[:1] = True
-        head = sa[new]  # the earliest of each string
-        print_ = gram_hashes(BYTE[text], LENGTH, BYTE_BASE)[begin[head]]
-        place = np.searchsorted(known, print_)
-        earlier = known[np.minimum(place, len(known) - 1)] == print_ if len(known) else np.zeros(len(print_), bool)
-        picked = np.ones(len(sa), bool)
-        picked[head] = earlier
-        found.append(window_ranges(given.key[a:z], given.start[a:z], n[a:z], picked))
-        if z < len(n):
-            fresh = np.sort(print_[~earlier])
-            known = np.insert(known, np.searchsorted(known, fresh), fresh)
+        heads = np.flatnonzero(new)
+        # of equal strings the earliest: places ascend inside a group, and equal strings are of one group
+        head = np.minimum.reduceat(sa, heads)
+        earlier = np.zeros(len(head), bool)
+        own = eights(text)
+        for other, array in known:
+            todo = np.flatnonzero(~earlier)
+            earlier[todo] = placed(own, begin[head[todo]], other, array, LENGTH)[1]
+        picked[first[a] + head] = earlier
+        if z < whole:  # more of this group to come
+            known.append((own, begin[sa[heads[~earlier]]]))
+        else:
+            known = []
         a = z
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    here = np.ones(len(picked), bool)
+    here[spread((np.cumsum(given.n.astype(np.int64)) - given.n)[order], n)] = picked
+    return here, np.ones(len(picked), bool)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept for each row of docs (doc_id, text)."""
     rows = keyed(docs)
-    ranges, copies = repeated_ranges(rows, BYTES, solve, first_wins=True)
+    ranges, copies = repeated_ranges(rows, BYTES, solve)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

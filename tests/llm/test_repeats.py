@@ -90,12 +90,69 @@ def test_suffix_array_and_common_prefixes():
         assert got[b] == want
 
 
-def test_deep_leaves_are_the_repeats():
+def test_trees():
     rng = np.random.default_rng(2)
     units = rng.integers(0, 2, 400).astype(np.uint64)
     from stratalog.llm.kernel import gram_hashes, mix
 
     at = np.arange(0, 365)
-    picked = substring.deep_leaves(np.zeros(len(at), np.uint64), at, gram_hashes(mix(units + np.uint64(1)), 5), np.ones(len(at), int), 3, 5)
-    count = Counter(tuple(units[i : i + 15]) for i in at)
-    assert picked.tolist() == [count[tuple(units[i : i + 15])] > 1 for i in at]
+    many = rng.integers(1, 3, len(at))
+    tree = substring.grow(np.zeros(len(at), np.uint64), at, gram_hashes(mix(units + np.uint64(1)), 5), many, 3, 5)
+    count = Counter()
+    for i in at:
+        for d in (5, 10, 15):
+            count[tuple(units[i : i + d])] += int(many[i])
+    assert tree.deep(15).tolist() == [count[tuple(units[i : i + 15])] > 1 for i in at]
+    assert sorted(zip(tree.depth.tolist(), tree.places.tolist(), strict=True)) == sorted((len(k), n) for k, n in count.items() if n > 1)
+    for node, up in enumerate(tree.parent.tolist()):  # each inner node hangs below the one five words up
+        assert (up == -1) == (tree.depth[node] == 5) and (up == -1 or tree.depth[up] == tree.depth[node] - 5 and tree.places[up] >= tree.places[node])
+
+
+@pytest.mark.parametrize("op", [substring, suffix])
+def test_nothing_goes_past_the_structure(docs, monkeypatch, op):
+    """Without the structure's word no window goes, of whatever copies; texts that occur twice as a whole are the rows that copies are."""
+    once = docs.where("text is not null").dropDuplicates(["text"])
+    found = op.deduplicated(once).where("n_removed > 0").count()
+    assert found > 10
+    monkeypatch.setattr(op, "solve", lambda runs: (np.zeros(int(runs.n.sum()), bool), np.zeros(int(runs.n.sum()), bool)))
+    assert op.deduplicated(once).where("n_removed > 0").count() == 0
+
+
+def test_spans_are_the_maximal_repeats(docs):
+    for r in substring.deduplicated(docs).collect():
+        spans = list(zip(r.spans[::2], r.spans[1::2], strict=True))
+        assert sum(b - a for a, b in spans) == r.n_removed and all(b - a >= 35 for a, b in spans)
+
+
+def test_search_in_another_shard():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(97, 99, 400).astype(np.uint8) for _ in range(2))
+    b[50:200] = a[100:250]
+    length = 20
+    starts = np.arange(400 - length)
+    array = np.array(sorted(starts, key=lambda i: (b[i : i + length].tobytes(), i)))
+    keep = np.concatenate(([True], [b[x : x + length].tobytes() != b[y : y + length].tobytes() for x, y in zip(array[1:], array[:-1], strict=True)]))
+    array = array[keep]
+    place, found = suffix.placed(suffix.eights(a), starts, suffix.eights(b), array, length)
+    have = [b[i : i + length].tobytes() for i in array]
+    for i in starts:
+        mine = a[i : i + length].tobytes()
+        assert place[i] == sum(x < mine for x in have) and found[i] == (mine in have)
+    assert found.sum() >= 130
+
+
+def test_heavy_groups_are_split_by_prefixes(spark, monkeypatch):
+    """One sequence of words in very many documents, under many different neighbours, some of which come twice."""
+    rng = np.random.default_rng(4)
+    core = " ".join(f"core{i}" for i in range(20))
+    rows = []
+    for i in range(300):
+        own = rng.integers(0, 60) if i % 3 else 1000 + i
+        rows.append((i, " ".join(f"a{own}x{k}" for k in range(30)) + " " + core + " " + " ".join(f"b{own % 7}x{k}" for k in range(30))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for heavy in (1, 20, 100):
+        monkeypatch.setattr(repeats, "HEAVY", heavy)
+        got = Counter(tuple(r) for r in substring.deduplicated(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+        assert got == brute_words(rows)
+        got = Counter(tuple(r) for r in suffix.deduplicated(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+        assert got == brute_bytes(rows, [0] * len(rows))
