@@ -7,9 +7,9 @@ that ship neither all windows nor all texts.
    anchors, and a text has only about 2 / (length - gram) anchors a unit. Anchors that occur once in the corpus rule out all
    their windows (``repeated_anchors``).
 2. For anchors that occur again, the runs of windows below them are sent, with their units, to the group of the anchor (``send``). An
-   anchor with more than ``HEAVY`` runs is split by prefixes of variable length: each of its windows goes to the group of its shortest
-   prefix, of the lengths in ``Scheme.ladder``, that at most HEAVY windows share (``crowded``); those that share even the longest, the whole
-   window, are one string.
+   anchor with more than ``HEAVY`` runs is split by longer pieces around it. Windows that begin within so many units of one another share
+   the longer a piece the fewer these are; a run is halved, and its halves again, until at most HEAVY runs have the piece that a part's
+   windows share (``crowded``). What is left in the end are single windows, whose piece is the whole window: one string.
 3. Each group is solved in memory by the operator's own structure, a suffix tree or a suffix array (``solve``), which says of each
    window of each run whether it goes. Equal runs enter the structure once, with the number of places they stand for, and what the
    structure says of a run is delivered to all its places (``deliver``): no window goes that the structure hasn't seen.
@@ -49,13 +49,17 @@ class Scheme:
     length: int
     gram: int
     code: str
-    #: Lengths of the prefixes that split heavy groups, the last that of a window.
-    ladder: tuple[int, ...]
 
     @property
     def width(self) -> int:
         return self.length - self.gram + 1
 
+    @property
+    def blocks(self) -> list[int]:
+        """Numbers of window offsets that share a piece, halving down to one."""
+        top = 1 << (self.width - 1).bit_length()
+        return [top >> k for k in range(1, top.bit_length())]
+
     def units(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64-bit hashes of the units of a chunk, and where each document's begin."""
         if self.unit == "byte":
@@ -231,7 +235,7 @@ def repeated_anchors(rows: DataFrame, scheme: Scheme) -> DataFrame:
 
 @dataclass
 class Heavy:
-    """Anchors with more runs than a group may have, ascending, and how many; crowded: for each length of the ladder but the last, the prefixes (hashed with their anchor) that too many windows share, ascending."""
+    """Anchors with more runs than a group may have, ascending, and how many; crowded: for each of Scheme.blocks but the last, the names of the pieces that too many runs have, ascending."""
 
     h: np.ndarray
     weight: np.ndarray
@@ -313,31 +317,54 @@ def candidate_runs(scheme: Scheme, units: np.ndarray, first: np.ndarray, wanted:
     return low[begin], doc[begin], begin, long
 
 
-def prefix_groups(scheme: Scheme, sums: np.ndarray, at: np.ndarray, anchor: np.ndarray, length: int) -> np.ndarray:
-    """Names of the windows at `at` by their anchor and first `length` units."""
-    return mix(span_hash(sums, at, at + length, scheme.base) ^ mix(anchor + U(length)))
+def heavy_windows(scheme: Scheme, units: np.ndarray, h: np.ndarray, begin: np.ndarray, long: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of runs below known anchors h: the run, the first unit, and how far behind that the first place of the anchor is."""
+    grams = gram_hashes(units, scheme.gram, scheme.base)
+    at = np.flatnonzero(np.isin(grams, known))
+    places = np.sort(np.searchsorted(known, grams[at]) * len(units) + at)
+    run, window = np.repeat(np.arange(len(h)), long), spread(begin, long)
+    own = np.searchsorted(known, h)[run] * len(units)
+    return run, window, places[np.searchsorted(places, own + window)] - own - window
+
+
+def piece_names(scheme: Scheme, sums: np.ndarray, anchor: np.ndarray, window: np.ndarray, behind: np.ndarray, block: int) -> np.ndarray:
+    """Names of the pieces that windows share with those whose anchor is as far behind, in blocks of so many units."""
+    least = behind - behind % block
+    most = np.minimum(least + block, scheme.width) - 1
+    at = window + behind
+    return mix(span_hash(sums, at - least, at - most + scheme.length, scheme.base) ^ mix(anchor + (least * 1024 + block).astype(U)))
 
 
 def crowded(again: DataFrame, scheme: Scheme, heavy: Heavy, least: int) -> list[np.ndarray]:
-    """For each length of the ladder but the last, the prefixes of windows below heavy anchors that more than `least` windows share."""
-    steps = scheme.ladder[:-1]
+    """For each of Scheme.blocks but the last, the names of pieces of runs below heavy anchors that more than `least` runs have."""
+    steps = scheme.blocks[:-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, U), np.zeros(0, np.int64)) for _ in steps]
+
+        def out(i: int) -> pa.RecordBatch:
+            names, n = have[i]
+            have[i] = np.zeros(0, U), np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), i), pa.int32()), pa.array(names.view(np.int64)), pa.array(n)], ["step", "name", "n"])
+
         for b in batches:
             for _, _, buf, offs in text_chunks(b.column("text")):
                 units, first = scheme.units(buf, offs)
                 h, _, begin, long = candidate_runs(scheme, units, first, heavy.h)
-                at, anchor, sums = spread(begin, long), np.repeat(h, long), prefix(units, scheme.base)
-                for i, length in enumerate(steps):
-                    names, n = np.unique(prefix_groups(scheme, sums, at, anchor, length), return_counts=True)
+                if not len(h):
+                    continue
+                run, window, behind = heavy_windows(scheme, units, h, begin, long, heavy.h)
+                sums = prefix(units, scheme.base)
+                for i, block in enumerate(steps):
+                    names = piece_names(scheme, sums, h[run], window, behind, block)
+                    once = np.concatenate(([True], (names[1:] != names[:-1]) | (run[1:] != run[:-1])))
+                    names, n = np.unique(names[once], return_counts=True)
                     names, back = np.unique(np.concatenate((have[i][0], names)), return_inverse=True)
                     have[i] = names, np.bincount(back, np.concatenate((have[i][1], n)), len(names)).astype(np.int64)
                     if len(names) > FLUSH_ANCHORS:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), i), pa.int32()), pa.array(names.view(np.int64)), pa.array(have[i][1])], ["step", "name", "n"])
-                        have[i] = np.zeros(0, U), np.zeros(0, np.int64)
-        for i, (names, n) in enumerate(have):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), i), pa.int32()), pa.array(names.view(np.int64)), pa.array(n)], ["step", "name", "n"])
+                        yield out(i)
+        for i in range(len(steps)):
+            yield out(i)
 
     counts = again.select("text").mapInArrow(count, "step int, name long, n long").groupBy("step", "name").agg(F.sum("n").alias("n"))
     out: list[list[int]] = [[] for _ in steps]
@@ -399,18 +426,21 @@ def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver) -> tuple[Dat
                     continue
                 sums, share = prefix(units, scheme.base), heavy.parts(h)
                 is_heavy = np.isin(h, heavy.h)
-                if is_heavy.any():  # window by window, each in the group of its prefix
-                    at, anchor = spread(begin[is_heavy], long[is_heavy]), np.repeat(h[is_heavy], long[is_heavy])
-                    name, left = np.zeros(len(at), U), np.ones(len(at), bool)
-                    for i, length in enumerate(scheme.ladder):
-                        own = np.flatnonzero(left)
-                        names = prefix_groups(scheme, sums, at[own], anchor[own], length)
-                        fits = ~np.isin(names, heavy.crowded[i]) if length < scheme.length else np.ones(len(own), bool)
-                        name[own[fits]] = names[fits]
-                        left[own[fits]] = False
-                    many = long[is_heavy]
-                    h, doc, share = (np.concatenate((x[~is_heavy], y)) for x, y in ((h, name), (doc, np.repeat(doc[is_heavy], many)), (share, np.repeat(share[is_heavy], many))))
-                    begin, long = np.concatenate((begin[~is_heavy], at)), np.concatenate((long[~is_heavy], np.ones(len(at), np.int64)))
+                if is_heavy.any():
+                    own = np.flatnonzero(is_heavy)
+                    run, window, behind = heavy_windows(scheme, units, h[own], begin[own], long[own], heavy.h)
+                    anchor = h[own][run]
+                    name, left = np.zeros(len(run), U), np.arange(len(run))
+                    for i, block in enumerate(scheme.blocks):
+                        names = piece_names(scheme, sums, anchor[left], window[left], behind[left], block)
+                        fits = ~np.isin(names, heavy.crowded[i]) if block > 1 else np.ones(len(left), bool)
+                        name[left[fits]] = names[fits]
+                        left = left[~fits]
+                    cut = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (run[1:] != run[:-1]))))
+                    piece, rest = own[run[cut]], ~is_heavy
+                    doc, share = np.concatenate((doc[rest], doc[piece])), np.concatenate((share[rest], share[piece]))
+                    h, begin = np.concatenate((h[rest], name[cut])), np.concatenate((begin[rest], window[cut]))
+                    long = np.concatenate((long[rest], np.diff(np.concatenate((cut, [len(run)])))))
                 code = mix(span_hash(sums, begin, begin + long + scheme.length - 1, scheme.base) ^ mix(h))
                 base = sum(map(len, held))
                 parts.append(Runs(h, code, keys[a + doc], order[a + doc], (begin - first[doc]).astype(np.uint32), long.astype(np.uint16), np.ones(len(h), np.uint32), share.astype(np.uint32), base + begin))

@@ -2,7 +2,7 @@
 
 A suffix starts at each word that begins a window of ``LENGTH`` words; only suffixes below an anchor that occurs again are
 built (``repeats``). They are split into groups that fit in memory: by the anchor, and below anchors with very many suffixes by
-prefixes whose length varies with how many suffixes share them. In a task as many whole groups as ``GROUP`` suffixes allow are
+longer pieces, whose length varies with how many share them. In a task as many whole groups as ``GROUP`` suffixes allow are
 grown at once, each from its own root, an edge of ``EDGE`` words at a time. ``Tree`` keeps the inner nodes; a branch that
 stands for one place is a leaf and grows no further. The suffixes below inner nodes of depth ``LENGTH`` are the repeats; those that start side by
 side join to maximal repeats, the spans that ``deduplicated`` returns.
@@ -31,7 +31,7 @@ from .repeats import Runs, Scheme, cover, keyed, repeated_ranges, spread, with_r
 from .shared import batch, bounded
 
 LENGTH, EDGE = 35, 5
-WORDS = Scheme("word", LENGTH, 12, "<u4", (17, 23, 29, LENGTH))
+WORDS = Scheme("word", LENGTH, 12, "<u4")
 #: Suffixes whose trees are grown at once.
 GROUP = 1_000_000
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.list_(pa.int64()))])
