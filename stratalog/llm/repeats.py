@@ -335,8 +335,8 @@ def piece_names(scheme: Scheme, sums: np.ndarray, anchor: np.ndarray, window: np
     return mix(span_hash(sums, at - least, at - most + scheme.length, scheme.base) ^ mix(anchor + (least * 1024 + block).astype(U)))
 
 
-def crowded(again: DataFrame, scheme: Scheme, heavy: Heavy, least: int) -> list[np.ndarray]:
-    """For each of Scheme.blocks but the last, the names of pieces of runs below heavy anchors that more than `least` runs have."""
+def crowded(rows: DataFrame, scheme: Scheme, heavy: Heavy, least: int) -> list[np.ndarray]:
+    """For each of Scheme.blocks but the last, the names of pieces of runs below heavy anchors that more than `least` runs have; copies of a text in several tasks count again."""
     steps = scheme.blocks[:-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,8 +347,9 @@ def crowded(again: DataFrame, scheme: Scheme, heavy: Heavy, least: int) -> list[
             have[i] = np.zeros(0, U), np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), i), pa.int32()), pa.array(names.view(np.int64)), pa.array(n)], ["step", "name", "n"])
 
+        seen: set[int] = set()
         for b in batches:
-            for _, _, buf, offs in text_chunks(b.column("text")):
+            for _, _, buf, offs in text_chunks(_new_texts(b, seen).column("text")):
                 units, first = scheme.units(buf, offs)
                 h, _, begin, long = candidate_runs(scheme, units, first, heavy.h)
                 if not len(h):
@@ -362,11 +363,12 @@ def crowded(again: DataFrame, scheme: Scheme, heavy: Heavy, least: int) -> list[
                     names, back = np.unique(np.concatenate((have[i][0], names)), return_inverse=True)
                     have[i] = names, np.bincount(back, np.concatenate((have[i][1], n)), len(names)).astype(np.int64)
                     if len(names) > FLUSH_ANCHORS:
+                        seen.clear()
                         yield out(i)
         for i in range(len(steps)):
             yield out(i)
 
-    counts = again.select("text").mapInArrow(count, "step int, name long, n long").groupBy("step", "name").agg(F.sum("n").alias("n"))
+    counts = rows.select("key", "text").mapInArrow(count, "step int, name long, n long").groupBy("step", "name").agg(F.sum("n").alias("n"))
     out: list[list[int]] = [[] for _ in steps]
     for r in counts.where(F.col("n") > least).select("step", "name").toLocalIterator():
         out[r.step].append(r.name)
@@ -388,7 +390,7 @@ def repeated_ranges(rows: DataFrame, scheme: Scheme, solve: Solver) -> tuple[Dat
     given = join_spread(rows.select("ord", "key", "text"), again, ["key"], "copies", ["ord"])
     heavy = heavy_anchors(found, n_anchors)
     if len(heavy.h):
-        heavy.crowded = crowded(given, scheme, heavy, max(HEAVY, n_anchors // 1_000_000))
+        heavy.crowded = crowded(rows, scheme, heavy, max(HEAVY, n_anchors // 1_000_000))
     kinds = {**{f"r_{x}": kind for x, kind in RUN}, "body": np.dtype(scheme.code)}
     places = {"c_code": U, "c_key": np.int64, "c_start": np.uint32}
 
