@@ -4,12 +4,14 @@ Words are runs of letters, digits and non-ASCII characters, lower-cased, so that
 ``SEED``-grams of the test items are counted over the whole corpus, in documents; each item keeps the ``RARE`` share of its
 distinct seeds that fewest documents have (at least ``LEAST``). Where a document has such a seed, the passage around it, as long as the item on either
 side of the diagonal that the seed names, is aligned with the item: match +1, mismatch and gap -0.5, local. The score is
-the best alignment over the item's length, and a document is contaminated by an item at ``THRESHOLD`` or more, or, however long the item,
-by an alignment of ``MATCHED`` or more. Items below SEED words are matched exactly: where all their words stand side by side the score is 1.
+the best alignment over the item's length, and a document is contaminated by an item at ``THRESHOLD`` or more if the alignment also
+comes to ``FLOOR`` words, or, in items that are too short for that, to ``SHORT`` of their words; or, however long the item, by an
+alignment of ``MATCHED`` or more. Items below SEED words are matched exactly: where all their words stand side by side the score is 1.
 
-Both passes are map-only over the documents, at any size of them: what is broadcast are the test items, in blocks of
-``BLOCK`` words, each of which passes over the corpus by itself if there are more, and what comes back is one counter for each seed and task. Hot items,
-or a document with very many seeds, cost only their own alignments; seeds on neighbouring diagonals share one passage.
+Both passes are map-only over the documents, at any size of them. Test items go out in blocks of ``BLOCK`` words; a benchmark of
+several blocks passes over the corpus once for each, and only one block is on the driver at a time. What comes back of a pass is one
+counter for each seed and task. Hot items, or a document with very many seeds, cost only their own alignments; seeds on
+neighbouring diagonals share one passage. A copy that has none of an item's rare seeds isn't seen; the README gives the measured recall.
 
 Defined cases: null and empty items find nothing; null and empty texts are clean; repeated rows
 and items are judged each for itself; a text is read whole, whatever its length; ties between passages go to the first; an
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .jaccard import lookup, merged
 from .kernel import gram_hashes, inside, spans_by, text_chunks, word_hashes
-from .shared import bounded
+from .shared import bounded, through_table
 
-SEED, RARE, LEAST, THRESHOLD = 3, 0.75, 12, 0.45
+SEED, RARE, LEAST, THRESHOLD, FLOOR, SHORT = 3, 0.75, 12, 0.45, 6, 0.8
 MISS = 0.5
 #: Alignment score (matched words less MISS for each other step) that is enough in an item of any length.
 MATCHED = 50
@@ -185,11 +187,16 @@ def short_matches(items: Items, h: np.ndarray, first: np.ndarray) -> Iterator[tu
                 yield d, i, 1.0, int(place - first[d]), int(place - first[d]) + n
 
 
+def enough(length: int, threshold: float = THRESHOLD) -> float:
+    """The alignment score from which an item of so many words counts."""
+    return min(MATCHED, max(threshold * length, min(FLOOR, SHORT * length)))
+
+
 def matches(items: Items, h: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(document, item, score, first word, end) of the pairs that count as contaminated."""
     length = np.diff(items.first)
     for found in best_alignments(items, h, first):
-        if found[2] >= threshold or found[2] * length[found[1]] >= MATCHED - 1e-6:
+        if found[2] * length[found[1]] >= enough(int(length[found[1]]), threshold) - 1e-6:
             yield found
     yield from short_matches(items, h, first)
 
@@ -236,7 +243,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word for each document (doc_id, text) and test item (item_id, text) with a passage at threshold or more."""
-    out = None
+    out, last, schema = None, None, "doc_id long, item_id long, score double, first_word long, last_word long"
     for items in blocks(benchmark):
         chosen = rare(items, document_counts(docs, items))
 
@@ -248,9 +255,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), FOUND, strict=True)], schema=FOUND)
 
-        part = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, score double, first_word long, last_word long")
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, first_word long, last_word long") if out is None else out
+        if last is not None:  # the block before is done with when the next one comes
+            last = through_table(last, "contaminated")
+            out = last if out is None else out.union(last)
+        last = docs.select("doc_id", "text").mapInArrow(find, schema)
+    if last is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    return last if out is None else out.union(last)
 
 
 def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +271,10 @@ def op9_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs (text) that no test item contaminates, with all their columns."""
+    given = docs
     for items in blocks(benchmark):
+        if docs is not given:
+            docs = through_table(docs, "clean")
         chosen = rare(items, document_counts(docs, items))
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = chosen) -> Iterator[pa.RecordBatch]:

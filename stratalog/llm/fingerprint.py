@@ -1,6 +1,7 @@
 """Operator 3: document fingerprints from prefix polynomial hashes.
 
-``Text`` holds the prefix sums of a text's code points times the powers of a base, modulo two primes below 2**31. Any two spans
+``Text`` holds the prefix sums of a text's code points times the powers of a base, modulo two primes below 2**31, in 8 bytes a code
+point; they are made and read in blocks. Any two spans
 are compared through four lookups, the longest common extension of two positions is found by binary search, and the
 fingerprint samples the hashes of all spans of ``SPAN`` code points: the least hash in each of ``SLOTS`` classes.
 
@@ -35,41 +36,36 @@ SPAN, SLOTS = 12, 64
 #: Rows turned into Python strings at once.
 SLICE = 256
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_prefix_edited", pa.int64()), ("common_prefix_next", pa.int64())])
-_powers: list[np.ndarray] = []
+#: Code points handled at once, beside the 8 bytes each that a text's sums take.
+BLOCK = 1 << 18
+_tables: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _modular_powers(base: int, p: int, n: int) -> np.ndarray:
-    out = np.ones(1, U)
-    while len(out) < n:
-        out = np.concatenate((out, out * U(pow(base, len(out), p)) % U(p)))
-    return out
-
-
-def _ensure(n: int) -> list[np.ndarray]:
-    """Powers of both bases and of their inverses."""
-    global _powers
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 15)
-        _powers = [_modular_powers(b, p, n) for b, p in zip(BASES, PRIMES, strict=True)] + [_modular_powers(pow(b, -1, p), p, n) for b, p in zip(BASES, PRIMES, strict=True)]
-    return _powers
+def _powers(base: int, p: int, start: int, n: int) -> np.ndarray:
+    """base**i modulo p for the n <= BLOCK exponents from start on."""
+    if (base, p) not in _tables or len(_tables[base, p]) < n:
+        out = np.ones(1, U)
+        while len(out) < max(n, BLOCK):
+            out = np.concatenate((out, out * U(pow(base, len(out), p)) % U(p)))
+        _tables[base, p] = out
+    return _tables[base, p][:n] * U(pow(base, start, p)) % U(p)
 
 
 class Text:
-    """A text's prefix arrays. codes: its code points."""
+    """A text's prefix arrays, one for each prime. codes: its code points."""
 
     def __init__(self, codes: np.ndarray):
         self.n = len(codes)
-        self.powers = _ensure(self.n + 1)
-        self.sums = []
-        for k, p in enumerate(PRIMES):
-            s = np.zeros(self.n + 1, U)
-            np.cumsum((codes.astype(U) + U(1)) * self.powers[k][: self.n] % U(p), out=s[1:])
-            self.sums.append(s % U(p))
+        self.sums = [np.zeros(self.n + 1, np.uint32) for _ in PRIMES]
+        for sums, b, p in zip(self.sums, BASES, PRIMES, strict=True):
+            for i in range(0, self.n, BLOCK):
+                own = codes[i : i + BLOCK].astype(U) + U(1)
+                sums[i + 1 : i + 1 + len(own)] = (np.cumsum(own * _powers(b, p, i, len(own)) % U(p)) + U(sums[i])) % U(p)
         self.print = self._print()
 
     def span(self, i: int, j: int) -> int:
         """Hash of the code points from i to j, as 62 bits."""
-        h = [(int(s[j]) - int(s[i])) % p * int(self.powers[2 + k][i]) % p for k, (s, p) in enumerate(zip(self.sums, PRIMES, strict=True))]
+        h = [(int(s[j]) - int(s[i])) * pow(b, -i, p) % p for s, b, p in zip(self.sums, BASES, PRIMES, strict=True)]
         return h[0] << 31 | h[1]
 
     def common(self, i: int, other: "Text", j: int) -> int:
@@ -85,10 +81,11 @@ class Text:
 
     def _print(self) -> str:
         slots = np.full(SLOTS, 0xFFFFFFFFFFFFFFFF, U)
-        if self.n:
-            width, p, s = min(SPAN, self.n), U(PRIMES[0]), self.sums[0]
-            m = self.n - width + 1
-            spans = (s[width:] + p - s[:m]) % p * self.powers[2][:m] % p
+        width, p, s = min(SPAN, self.n), PRIMES[0], self.sums[0]
+        back = pow(BASES[0], -1, p)
+        for i in range(0, self.n - width + 1 if self.n else 0, BLOCK):
+            j = min(i + BLOCK, self.n - width + 1)
+            spans = (s[i + width : j + width].astype(U) + U(p) - s[i:j]) % U(p) * _powers(back, p, i, j - i) % U(p)
             spans = mix(spans + U(width << 32))
             np.minimum.at(slots, (spans >> U(58)).astype(np.intp), spans)
         own = "".join("...." if x == 0xFFFFFFFFFFFFFFFF else f"{(x >> 8) & 0xFFFF:04x}" for x in slots.tolist())

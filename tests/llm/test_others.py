@@ -36,6 +36,49 @@ def test_fingerprints(docs, ranges):
     assert len(by_text) == len({t for _, t in rows})
 
 
+def plain_print(t):
+    """The fingerprint by its definition: sums of powers, one span at a time, in Python's integers."""
+    codes = [ord(c) + 1 for c in t]
+
+    def span(k, i, j):
+        p, b = fingerprint.PRIMES[k], fingerprint.BASES[k]
+        return sum(c * pow(b, n, p) for n, c in enumerate(codes[i:j])) % p
+
+    def scramble(x):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ (x >> shift)) * times % 2**64
+        return x
+
+    width, slots = min(12, len(t)), {}
+    for i in range(len(t) - width + 1 if t else 0):
+        x = scramble(span(0, i, i + width) + (width << 32))
+        slots[x >> 58] = min(x, slots.get(x >> 58, x))
+    own = "".join(f"{(slots[k] >> 8) & 0xFFFF:04x}" if k in slots else "...." for k in range(64))
+    return f"{len(t):x}-{span(0, 0, len(t)) << 31 | span(1, 0, len(t)):016x}-{own}"
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([s[-256:][i : i + 4] for i in range(0, 256, 4)] for s in (a, b))
+    filled = [(p, q) for p, q in zip(x, y, strict=True) if p != "...." or q != "...."]
+    j = sum(p == q for p, q in filled) / len(filled) if filled else 0.0
+    return 2 * j / (1 + j)
+
+
+def test_fingerprints_against_their_definition(docs, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BLOCK", 100)  # so that texts have several
+    short = docs.where("length(coalesce(text, '')) < 2500")
+    rows = sorted(((r.doc_id, r.text or "") for r in short.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    want = Counter()
+    for (doc_id, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        m = len(t) // 4
+        one, two, three = (plain_print(x) for x in (t, t[: len(t) - m] + after[:m], after))
+        want[(doc_id, one, two, plain_likeness(one, two), plain_likeness(one, three))] += 1
+    got = fingerprint.fingerprints(short).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next").collect()
+    assert Counter(map(tuple, got)) == want
+
+
 def test_likeness_follows_the_edit():
     rng = random.Random(1)
     a, b = prose(rng, 400), prose(rng, 400)
@@ -241,6 +284,44 @@ def plain_align(a, b):
     return best
 
 
+def test_short_overlaps_dont_count(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France"), (2, "a b c")], "item_id long, text string")
+    rows = [(1, "We asked what is the weather like"), (2, "so: What is the capital of France?"), (3, "what is the old capital of France"), (4, "x a b c y"), (5, "x a b y c")]
+    got = contamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(2, 1), (3, 1), (4, 2)]
+
+
+@pytest.mark.parametrize("block", [2_000_000, 40])
+def test_contamination_against_all_alignments(spark, monkeypatch, block):
+    """Every pair of document and item aligned whole; items are short enough to keep all their seeds."""
+    monkeypatch.setattr(contamination, "BLOCK", block)
+    rng = random.Random(17)
+    items = [(i, prose(rng, rng.randint(3, 14))) for i in range(14)]
+    docs = []
+    for i in range(60):
+        words = prose(rng, rng.randint(0, 30)).split(" ")
+        own = items[i % 14][1].split(" ")
+        for k in range(len(own)):
+            if rng.random() < (0, 0.15, 0.4)[i % 3]:
+                own[k] = rng.choice(["other", ""])
+        docs.append((i, " ".join([*words, *own, *prose(rng, 9).split(" ")])))
+    plain = lambda t: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t.lower())
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            w = plain(item)
+            score = plain_align(w, plain(text))
+            seeds = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+            t = plain(text)
+            if score >= contamination.enough(len(w)) - 1e-6 and seeds & {tuple(t[k : k + 3]) for k in range(len(t) - 2)}:
+                want[(d, i)] = score / len(w)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(1)
+    got = {(r.doc_id, r.item_id): r.score for r in contamination.contaminated(df, benchmark).collect()}
+    assert got == pytest.approx(want) and len(want) > 30
+    assert {r.doc_id for r in contamination.clean(df, benchmark).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def test_alignment_scores():
     rng = np.random.default_rng(5)
     a, b = rng.integers(1, 5, (40, 12)).astype(np.uint64), rng.integers(1, 5, (40, 25)).astype(np.uint64)
