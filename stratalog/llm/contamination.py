@@ -1,8 +1,8 @@
 """Operator 9: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased, so that punctuation and case don't hide a copy. The
-``SEED``-grams of the test items are counted over the whole corpus, in documents; each item keeps the ``RARE`` share of its
-distinct seeds that fewest documents have (at least ``LEAST``). Where a document has such a seed, the passage around it, as long as the item on either
+``SEED``-grams of the test items are counted over the whole corpus, in documents; rare are those that no more than a share of ``RARE`` of
+all documents has (or ``FEW`` documents), and of each item the ``LEAST`` that fewest documents have, of those that any has. Where a document has such a seed, the passage around it, as long as the item on either
 side of the diagonal that the seed names, is aligned with the item: match +1, mismatch and gap -0.5, local. The score is
 the best alignment over the item's length, and a document is contaminated by an item at ``THRESHOLD`` or more if the alignment also
 comes to ``FLOOR`` words, or, in items that are too short for that, to ``SHORT`` of their words; or, however long the item, by an
@@ -33,8 +33,10 @@ from .jaccard import lookup, merged
 from .kernel import gram_hashes, inside, spans_by, text_chunks, word_hashes
 from .shared import bounded, through_table
 
-SEED, RARE, LEAST, THRESHOLD, FLOOR, SHORT = 3, 0.75, 12, 0.45, 6, 0.8
+SEED, RARE, LEAST, THRESHOLD, FLOOR, SHORT = 3, 0.01, 12, 0.45, 6, 0.8
 MISS = 0.5
+#: Documents in which a seed is rare however small the corpus.
+FEW = 10
 #: Alignment score (matched words less MISS for each other step) that is enough in an item of any length.
 MATCHED = 50
 #: Words of test items that one pass over the corpus takes.
@@ -84,25 +86,27 @@ def items_of(rows: list[tuple[int | None, str | None]]) -> Items:
     return Items([i for i, _ in rows], h, first, seeds, np.concatenate((begin, [len(order)])), item, order - first[item])
 
 
-def rare(items: Items, count: np.ndarray) -> Items:
-    """The items with only their rarest seeds, by the documents that have them."""
+def rare(items: Items, count: np.ndarray, documents: int) -> Items:
+    """The items with only their rare seeds, by the documents that have them."""
     of = np.repeat(np.arange(len(items.seeds)), np.diff(items.first_at))
-    order = np.lexsort((items.position, items.seeds[of], count[of], items.item))
-    size = np.bincount(items.item, minlength=len(items.ids))
+    found = np.flatnonzero(count[of] > 0)  # no document has the others
+    order = found[np.lexsort((items.position[found], items.seeds[of[found]], count[of[found]], items.item[found]))]
+    size = np.bincount(items.item[found], minlength=len(items.ids))
     place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-    keep = np.zeros(len(order), bool)
-    keep[order] = place < np.maximum(LEAST, np.ceil(RARE * size))[items.item[order]]
+    keep = np.zeros(len(of), bool)
+    keep[order] = (place < LEAST) | (count[of[order]] <= max(FEW, RARE * documents))
     seeds, begin = np.unique(of[keep], return_index=True)
     return Items(items.ids, items.words, items.first, items.seeds[seeds], np.concatenate((begin, [int(keep.sum())])), items.item[keep], items.position[keep])
 
 
-def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """Documents that have each seed."""
+def document_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """Documents that have each seed, and all documents."""
     width = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(len(items.seeds), np.uint64)
+        out = np.zeros(len(items.seeds) + 1, np.uint64)
         for b in batches:
+            out[-1] += np.uint64(b.num_rows)
             for a, z, buf, offs in plain_chunks(b.column("text")):
                 h, first = plain_words(buf, offs)
                 g = gram_hashes(h, SEED)
@@ -114,7 +118,8 @@ def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([p // width], pa.int32()), pa.array([out[p : p + width].tobytes()], pa.binary())], ["part", "cells"])
 
     rows = merged(docs.select("text").mapInArrow(count, "part int, cells binary"), "<u8", lambda a, b: a + b, lambda x: x)
-    return np.concatenate([np.frombuffer(x, np.uint64) for x in rows] or [np.zeros(len(items.seeds), np.uint64)])
+    out = np.concatenate([np.frombuffer(x, np.uint64) for x in rows] or [np.zeros(len(items.seeds) + 1, np.uint64)])
+    return out[:-1], int(out[-1])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """doc_id, item_id, score, first_word, last_word for each document (doc_id, text) and test item (item_id, text) with a passage at threshold or more."""
     out, last, schema = None, None, "doc_id long, item_id long, score double, first_word long, last_word long"
     for items in blocks(benchmark):
-        chosen = rare(items, document_counts(docs, items))
+        chosen = rare(items, *document_counts(docs, items))
 
         def find(batches: Iterator[pa.RecordBatch], items: Items = chosen) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -275,7 +280,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     for items in blocks(benchmark):
         if docs is not given:
             docs = through_table(docs, "clean")
-        chosen = rare(items, document_counts(docs, items))
+        chosen = rare(items, *document_counts(docs, items))
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = chosen) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -268,7 +268,7 @@ def test_parts_of_long_items_and_short_items(spark):
     long = " ".join(f"{w}{i}" for i, w in enumerate(prose(rng, 500).split(" ")))
     items = spark.createDataFrame([(1, long), (2, "漢字仮名交じり文"), (3, "zyx wvu"), (4, "zyx wvu"), (5, "qponm"), (6, ""), (7, None)], "item_id long, text string")
     part = " ".join(long.split(" ")[100:300])
-    rows = [(0, prose(rng, 300)), (1, prose(rng, 80) + " " + part + " " + prose(rng, 80)), (2, "see 漢字仮名交じり文, twice 漢字仮名交じり文"), (3, "now ZYX, wvu!"), (4, "zyx and wvu"), (5, "zyx"), (6, "wvu"), (7, "a qponm"), (8, None), (9, " ".join(long.split(" ")[100:140]))]
+    rows = [(0, prose(rng, 300)), (1, prose(rng, 80) + " " + part + " " + prose(rng, 80)), (2, "see 漢字仮名交じり文, twice 漢字仮名交じり文"), (3, "now ZYX, wvu!"), (4, "zyx and wvu"), (5, "zyx"), (6, "wvu"), (7, "a qponm"), (8, None), (9, " ".join(long.split(" ")[100:125]))]  # below MATCHED words, marks inside included
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     got = sorted((r.doc_id, r.item_id, r.first_word, r.last_word) for r in contamination.contaminated(docs, items).collect())
     assert [x[:2] for x in got] == [(1, 1), (2, 2), (3, 3), (3, 4), (7, 5)] and got[1][2:] == (1, 1) and got[2][2:] == (1, 2)
@@ -322,6 +322,17 @@ def test_contamination_against_all_alignments(spark, monkeypatch, block):
     assert {r.doc_id for r in contamination.clean(df, benchmark).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_common_seeds_are_dropped_but_not_the_last():
+    items = contamination.items_of([(1, "a b c d e f g h i j k l m n o p q r"), (2, "a b c d")])
+    words = lambda chosen, i: [int(p) for p in sorted(chosen.position[chosen.item == i])]
+    counts = np.ones(len(items.seeds), np.uint64)
+    common = {items.seeds[k] for k in range(len(items.seeds)) for p in range(items.first_at[k], items.first_at[k + 1]) if items.item[p] == 0 and items.position[p] < 6}
+    counts[[s in common for s in items.seeds]] = 50
+    assert words(contamination.rare(items, counts, 100), 0) == [0, 1, *range(6, 16)]  # twelve, the rarest
+    assert words(contamination.rare(items, counts, 100), 1) == [0, 1]
+    assert words(contamination.rare(items, counts, 100_000), 0) == list(range(16))
+
+
 def test_alignment_scores():
     rng = np.random.default_rng(5)
     a, b = rng.integers(1, 5, (40, 12)).astype(np.uint64), rng.integers(1, 5, (40, 25)).astype(np.uint64)
