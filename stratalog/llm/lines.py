@@ -40,12 +40,11 @@ PLACE = ["ord", "key", "at"]
 
 
 def hashed(docs: DataFrame, alone: int | None = ALONE) -> DataFrame:
-    """ord, key, at array<int>, line array<long> and long array<boolean>: the places, hashes and being a run of the lines that aren't blank."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("at"), F.trim(x, F.lit(BLANKS)).alias("line")))
+    """ord, key, line array<long> and long array<boolean>: the hashes of the lines that aren't blank, and whether they are runs by themselves."""
     own = (lambda x: F.lit(False)) if alone is None else (lambda x: F.octet_length(x) >= alone)
-    full = F.transform(F.filter(lines, lambda x: x.line != ""), lambda x: F.struct(x.at.alias("at"), F.xxhash64(x.line).alias("line"), own(x.line).alias("long")))
-    rows = docs.select("ord", "key", full.alias("full")).where(F.size("full") > 0)
-    return rows.select("ord", "key", F.col("full.at").alias("at"), F.col("full.line").alias("line"), F.col("full.long").alias("long"))
+    full = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != "")
+    rows = docs.select("ord", "key", F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("line"), own(x).alias("long"))).alias("full")).where(F.size("full") > 0)
+    return rows.select("ord", "key", F.col("full.line").alias("line"), F.col("full.long").alias("long"))
 
 
 def prints(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -93,13 +92,14 @@ def with_kept_lines(docs: DataFrame, keep: list[str] = ("doc_id",), alone: int |
     """keep, n_lines, n_removed and kept (text) for each row of docs (doc_id, text). alone: bytes from which a line is a run by itself (None: never)."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord"), F.xxhash64(text).alias("_key"), text.alias("_text"))
-    lines = through_table(hashed(rows.select(F.col("_ord").alias("ord"), F.col("_key").alias("key"), F.col("_text").alias("text")), alone).distinct(), "lines")
-    runs = repeated_runs(lines, window).groupBy("ord", "key").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
-    gone = lines.select("ord", "key", "at").join(runs, ["ord", "key"])
-    places = F.array_distinct(F.flatten(F.transform("runs", lambda s: F.slice("at", s["start"] + 1, s["size"]))))
-    gone = gone.select(F.col("ord").alias("_ord"), F.col("key").alias("_key"), places.alias("_gone"))
-    out = rows.join(gone, ["_ord", "_key"], "left").withColumn("_lines", F.split("_text", "\n", -1))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.element_at("_lines", i + 1))
+    lines = through_table(hashed(rows.select(F.col("_ord").alias("ord"), F.col("_key").alias("key"), F.col("_text").alias("text")), alone), "lines")
+    runs = repeated_runs(lines, window).groupBy(F.col("ord").alias("_ord"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "size")).alias("_runs"))
+    out = rows.join(runs, ["_ord", "_key"], "left").withColumn("_lines", F.split("_text", "\n", -1))
+    # runs number the lines that aren't blank
+    full = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.trim(F.get("_lines", i), F.lit(BLANKS)) != "")
+    out = out.withColumn("_full", F.when(F.col("_runs").isNotNull(), full))
+    out = out.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_runs", lambda s: F.slice("_full", s["start"] + 1, s["size"])))))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
     return out.select(*keep, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
 
