@@ -94,14 +94,14 @@ def with_kept_lines(docs: DataFrame, keep: list[str] = ("doc_id",), alone: int |
     rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord"), F.xxhash64(text).alias("_key"), text.alias("_text"))
     lines = through_table(hashed(rows.select(F.col("_ord").alias("ord"), F.col("_key").alias("key"), F.col("_text").alias("text")), alone), "lines")
     runs = repeated_runs(lines, window).groupBy(F.col("ord").alias("_ord"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("start", "size")).alias("_runs"))
-    out = rows.join(runs, ["_ord", "_key"], "left").withColumn("_lines", F.split("_text", "\n", -1))
+    # step by step inside one generator, so that each step is evaluated once a row, whatever is asked of the result
+    out = F.transform(F.array(F.split("_text", "\n", -1)), lambda ls: F.struct(ls.alias("lines"), F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.trim(F.get(ls, i), F.lit(BLANKS)) != "").alias("full")))
     # runs number the lines that aren't blank
-    full = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.trim(F.get("_lines", i), F.lit(BLANKS)) != "")
-    out = out.withColumn("_full", F.when(F.col("_runs").isNotNull(), full))
-    out = out.withColumn("_gone", F.array_distinct(F.flatten(F.transform("_runs", lambda s: F.slice("_full", s["start"] + 1, s["size"])))))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get("_lines", i))
-    kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
-    return out.select(*keep, F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    out = F.transform(out, lambda x: F.struct(x.lines.alias("lines"), F.array_distinct(F.flatten(F.transform("_runs", lambda s: F.slice(x.full, s["start"] + 1, s["size"])))).alias("gone")))
+    left = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x.lines) - 1), x.gone), lambda i: F.get(x.lines, i))
+    kept = lambda x: F.when(x.gone.isNull(), F.col("_text")).otherwise(F.array_join(left(x), "\n"))
+    out = F.transform(out, lambda x: F.struct(F.size(x.lines).cast("long").alias("n_lines"), F.coalesce(F.size(x.gone), F.lit(0)).cast("long").alias("n_removed"), kept(x).alias("kept")))
+    return rows.join(runs, ["_ord", "_key"], "left").select(*keep, F.inline_outer(out))
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
