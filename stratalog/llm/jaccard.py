@@ -510,3 +510,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     first = first.union(found.where("not full").select("_ord", "_key")).distinct()
     rows = docs.select(order, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), F.struct(*docs.columns).alias("_row"))  # one column, whatever the names
     return rows.join(first, ["_ord", "_key"]).dropDuplicates(["_ord", "_key"]).select("_row.*")
+
+
+#: The same by joining documents on every shingle and walking the links.
+SQL = r"""
+WITH RECURSIVE worded AS (SELECT doc_id, row_number() OVER () AS row,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT row, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM worded WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT row, array_to_string(w[i:i + 4], ' ') AS shingle FROM starts),
+sizes AS (SELECT row, count(*) AS n FROM shingles GROUP BY row),
+shared AS (SELECT a.row AS a, b.row AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.row < b.row GROUP BY a.row, b.row),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.row = a JOIN sizes y ON y.row = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT row AS a, row AS b FROM worded UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b),
+least AS (SELECT reach.a AS row, min(o.doc_id) AS component_id FROM reach JOIN worded o ON o.row = reach.b GROUP BY reach.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM worded JOIN least USING (row) LEFT JOIN sizes USING (row)"""

@@ -16,4 +16,11 @@ QUERIES = {
     "op9_contamination": contamination.op9_contamination,
     "op10_warc": warc.op10_warc,
 }
-SQL = {"op7_mix": mixing.SQL, "op8_lines": lines.SQL, "op10_warc": warc.SQL}
+SQL = {
+    "op1_substring": substring.SQL,
+    "op4_suffix": suffix.SQL,
+    "op6_jaccard": jaccard.SQL,
+    "op7_mix": mixing.SQL,
+    "op8_lines": lines.SQL,
+    "op10_warc": warc.SQL,
+}

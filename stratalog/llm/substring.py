@@ -154,3 +154,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: The same by grouping every window with its words.
+SQL = r"""
+WITH worded AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT row, unnest(range(1, len(w) - 33)) AS i, w FROM worded WHERE len(w) >= 35),
+windows AS (SELECT row, i, array_to_string(w[i:i + 34], ' ') AS content FROM starts),
+often AS (SELECT content FROM windows GROUP BY content HAVING count(*) > 1),
+covered AS (SELECT DISTINCT row, unnest(range(i, i + 35)) AS p FROM windows JOIN often USING (content)),
+places AS (SELECT row, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM worded),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM places ANTI JOIN covered USING (row, p) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM worded LEFT JOIN kept USING (row)"""

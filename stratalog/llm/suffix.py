@@ -216,3 +216,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: The same by grouping every 100-byte string; bytes as hexadecimal digits.
+SQL = r"""
+WITH bytes AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS row, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT row, unnest(range(0, len(h) // 2 - 99)) AS i, h FROM bytes WHERE len(h) >= 200),
+windows AS (SELECT row, i, substr(h, 2 * i + 1, 200) AS content FROM starts),
+later AS (SELECT row, i FROM windows QUALIFY row_number() OVER (PARTITION BY content ORDER BY row, i) > 1),
+runs AS (SELECT row, i, i - lag(i) OVER (PARTITION BY row ORDER BY i) AS step FROM later),
+numbered AS (SELECT row, i, sum(CASE WHEN step <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY row ORDER BY i) AS span FROM runs),
+spans AS (SELECT row, span, min(i) AS a, max(i) + 100 AS z FROM numbered GROUP BY row, span),
+gaps AS (SELECT row, a, z, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT row, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM gaps JOIN bytes USING (row) GROUP BY row)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (row)"""
