@@ -15,6 +15,7 @@ from . import workloads
 
 Query = Callable[[SparkSession, str], DataFrame]
 LOW, HIGH, PREFIX = "u000010", "u000030", "u000042/"
+NOW = 1_704_500_000_123_456_789
 BUDGET, RATIO, TIERING = 4096, 0.1, compact.Tiering(low=0.9, high=1.1, small=17000, least=4, most=32)
 
 LOG = """
@@ -212,6 +213,14 @@ def crc_prefix(spark: SparkSession, d: str) -> DataFrame:
     return manifest.valid_prefix(rows.withColumn("crc", F.when(F.col("lsn") % 3001 == 0, F.col("crc") + 1).otherwise(F.col("crc"))), "lsn", F.col("crc") == keys.checksum(F.col("lsn"), F.col("key"))).select("lsn", "key")
 
 
+def scalars(spark: SparkSession, d: str) -> DataFrame:
+    """Keys as messages show them, times in seconds, and ages at NOW, before which some of the log lies and some after."""
+    rows = event_log(spark, d)
+    at = F.lit(NOW).cast("long")
+    path = keys.file_name(F.col("run_id"), ".sst")
+    return rows.select("lsn", keys.shown(F.col("key"), 8).alias("shown"), keys.seconds(F.col("ts")).alias("seconds"), keys.age_seconds(at, F.col("ts")).alias("age"), keys.file_number(path).alias("number"))
+
+
 QUERIES: dict[str, Query] = {
     "a7_visible_state": visible_state,
     "r15_latest_version": latest_version,
@@ -243,6 +252,7 @@ QUERIES: dict[str, Query] = {
     "m8_lsn_reconcile": lsn_reconcile,
     "m9_orphan_runs": orphan_runs,
     "m11_crc_prefix": crc_prefix,
+    "s28_scalars": scalars,
     **workloads.QUERIES,
 }
 
@@ -297,5 +307,7 @@ SQL: dict[str, str] = {
     "m8_lsn_reconcile": f"WITH {LOG} SELECT max(lsn) AS last_lsn FROM log",
     "m9_orphan_runs": f"WITH {LOG}, {MANIFEST} SELECT DISTINCT lpad(CAST(run_id AS VARCHAR), 6, '0') || '.sst' AS path FROM log WHERE run_id NOT IN (SELECT id FROM state WHERE kind = 'sst')",
     "m11_crc_prefix": f"WITH {LOG} SELECT lsn, key FROM log WHERE lsn < 3001",
+    "s28_scalars": f"""WITH {LOG} SELECT lsn, lower(hex(encode(substr(key, 1, 8)))) || '...' AS shown, ts // 1000000000 AS seconds,
+    greatest(0, {NOW} // 1000000000 - ts // 1000000000) AS age, run_id AS number FROM log""",
     **workloads.SQL,
 }

@@ -18,7 +18,7 @@ def _user(key: str, default: str) -> int:
 
 
 def event_log(spark: SparkSession, sf_dir: str, keys: tuple[str, str] | None = None) -> DataFrame:
-    """op, key, end, value, lsn, ts, run_id: errors delete their key, those with k >= 80 a range of 25 keys of their user, all else puts.
+    """The events table as a log.
 
     A run is RUN_LENGTH mutations. keys: a range of keys that are wanted; as a record bears only on keys of its own user, it
     becomes a range of users that reaches the scan.
@@ -26,6 +26,11 @@ def event_log(spark: SparkSession, sf_dir: str, keys: tuple[str, str] | None = N
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     if keys:
         e = e.where(F.col("user_id").between(_user(keys[0], "0"), _user(keys[1], "9")))
+    return as_log(e)
+
+
+def as_log(e: DataFrame) -> DataFrame:
+    """op, key, end, value, lsn, ts, run_id: errors delete their key, those with k >= 80 a range of 25 keys of their user, all else puts."""
     e = e.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     op = F.when((F.col("event_type") == "error") & (F.col("k") >= 80), 2).when(F.col("event_type") == "error", 1).otherwise(0)
     low = (F.col("k") - 80) * 5

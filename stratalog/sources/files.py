@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+from contextlib import suppress
+
 from pyspark.sql import SparkSession
 
 
@@ -45,3 +50,20 @@ class Files:
     def move(self, name: str, to: str) -> None:
         self._fs.mkdirs(self._path(to).getParent())
         self._fs.rename(self._path(name), self._path(to))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a store that lasts as long as the driver, in the folder that spark.checkpoint.dir names; without that setting in local mode alone."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="stratalog-")
+    path = f"{at.rstrip('/')}/store-{uuid.uuid4().hex}"
+    atexit.register(_drop, Files(spark, path))
+    return path
+
+
+def _drop(files: Files) -> None:
+    with suppress(Exception):  # the session may be gone
+        files.delete("")
