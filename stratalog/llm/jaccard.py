@@ -503,13 +503,17 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) that come first in their component, by doc_id (null before all) and then a hash of the text; of equal rows one."""
+    """The rows of docs (doc_id, text) that come first in their component, by doc_id (null before all) and then a hash of the text.
+
+    Of rows that agree in both, the one whose columns have the least hash stays, so that a task that runs again chooses as before.
+    """
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_ord")
     found = near_copies(docs).select(order, F.col("key").alias("_key"), "label", (F.col("n_shingles") > 0).alias("full"))
     first = found.where("full").groupBy("label").agg(F.min(F.struct("_ord", "_key")).alias("first")).select("first._ord", "first._key")
     first = first.union(found.where("not full").select("_ord", "_key")).distinct()
     rows = docs.select(order, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"), F.struct(*docs.columns).alias("_row"))  # one column, whatever the names
-    return rows.join(first, ["_ord", "_key"]).dropDuplicates(["_ord", "_key"]).select("_row.*")
+    one = rows.join(first, ["_ord", "_key"]).groupBy("_ord", "_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return one.select("_row.*")
 
 
 #: The same by joining documents on every shingle and walking the links.
