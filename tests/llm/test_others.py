@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import contamination, fingerprint, lines, mixing, quality, warc
-from stratalog.llm.kernel import text_chunks
+from stratalog.llm.kernel import text_chunks, word_hashes
 
 from .conftest import prose
 
@@ -168,11 +169,12 @@ def test_mix_of_none(none):
 # 8: lines
 
 
-def plain_lines(rows, window, alone):
-    """rows (doc_id, text, hash): the runs rule, said directly."""
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
-    first, want = {}, Counter()
-    for doc_id, text, k in order:
+def plain_kept(rows, window, alone):
+    """The runs rule, said directly: lines, lines removed and the text kept for each of rows (doc_id, text, hash), in their order."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][2]))
+    first, out = {}, [None] * len(rows)
+    for row in order:
+        doc_id, text, k = rows[row]
         ls = (text or "").split("\n")
         full = [i for i, x in enumerate(ls) if x.strip(" \t\r")]
         own = [ls[i].strip(" \t\r") for i in full]
@@ -184,8 +186,12 @@ def plain_lines(rows, window, alone):
                 who = first.setdefault(tuple(own[a : a + n]) if n > 1 or window == 1 else own[a], (doc_id, k, a))
                 if who[:2] != (doc_id, k) or who[2] < a:
                     gone |= set(full[a : a + n])
-        want[(doc_id, len(ls), len(gone), "\n".join(x for i, x in enumerate(ls) if i not in gone))] += 1
-    return want
+        out[row] = len(ls), len(gone), "\n".join(x for i, x in enumerate(ls) if i not in gone)
+    return out
+
+
+def plain_lines(rows, window, alone):
+    return Counter((r[0], *kept) for r, kept in zip(rows, plain_kept(rows, window, alone), strict=True))
 
 
 @pytest.mark.parametrize(("window", "alone"), [(2, 32), (2, None), (3, None), (4, 40)])
@@ -275,6 +281,10 @@ def test_parts_of_long_items_and_short_items(spark):
     assert sorted(r.doc_id for r in contamination.clean(docs, items).collect()) == [0, 4, 5, 6, 8, 9]
 
 
+def plain_words(text):
+    return re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text.lower())
+
+
 def plain_align(a, b):
     h, best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)], 0.0
     for i in range(1, len(a) + 1):
@@ -305,14 +315,13 @@ def test_contamination_against_all_alignments(spark, monkeypatch, block):
             if rng.random() < (0, 0.15, 0.4)[i % 3]:
                 own[k] = rng.choice(["other", ""])
         docs.append((i, " ".join([*words, *own, *prose(rng, 9).split(" ")])))
-    plain = lambda t: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", t.lower())
     want = {}
     for d, text in docs:
         for i, item in items:
-            w = plain(item)
-            score = plain_align(w, plain(text))
+            w = plain_words(item)
+            score = plain_align(w, plain_words(text))
             seeds = {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
-            t = plain(text)
+            t = plain_words(text)
             if score >= contamination.enough(len(w)) - 1e-6 and seeds & {tuple(t[k : k + 3]) for k in range(len(t) - 2)}:
                 want[(d, i)] = score / len(w)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
@@ -423,6 +432,51 @@ def test_quality_of_awkward_rows(spark, docs, none):
     assert quality.score(docs, quality.train(docs, odd)).count() == docs.count()
 
 
+def plain_score(model, text):
+    """A text's score from its words, one passage after the other."""
+    data = (text or "").encode()
+    found = re.findall(rb"[^\x20\x09-\x0d]+", data)
+    hashed = [int(word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in found]
+    pairs, before, had, had_pair, rows = list(zip(hashed, hashed[1:], strict=False)), set(), [], [], []
+    for h in hashed:
+        had.append(h in before)
+        before.add(h)
+    for i, p in enumerate(pairs):
+        had_pair.append(p in pairs[:i])
+    for a in range(0, max(1, len(found)), quality.PASSAGE):
+        own = range(a, min(a + quality.PASSAGE, len(found)))
+        chars, many = max(1, sum(len(found[i]) for i in own)), max(1, len(own))
+        kinds = Counter(b if b < 128 else 128 + (b & 15) for i in own for b in found[i])
+        lengths, cells = Counter(min(len(found[i]), 16) - 1 for i in own), Counter(hashed[i] % quality.HASHED for i in own)
+        x = [math.sqrt(kinds[k] / chars) for k in range(quality.BYTES)] + [lengths[k] / many for k in range(quality.LENGTHS)] + [math.sqrt(cells[k] / many) for k in range(quality.HASHED)]
+        share = lambda test, own=own, many=many: sum(bool(test(i)) for i in own) / many
+        x += [
+            share(lambda i: had[i]),
+            share(lambda i: i < len(pairs) and had_pair[i]),
+            share(lambda i: found[i][-1] < 128 and not re.fullmatch(rb"[0-9A-Za-z.,]", found[i][-1:])),
+            share(lambda i: len(found[i]) == 1),
+            chars / many / 10,
+            share(lambda i: 65 <= found[i][0] <= 90),
+            math.log1p(len(own)) / 5,
+            math.log1p(len(found)) / 10,
+        ]
+        rows.append((np.array(x) - model.mean) / model.scale)
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    h = [np.tanh(x @ p["W"] + p["b"]) for x in rows]
+    e = [math.exp((np.tanh(v @ p["V"] + p["v"]) * sigmoid(v @ p["G"] + p["g"])) @ p["w"]) for v in h]
+    return float(sigmoid(sum(w * v for w, v in zip(e, h, strict=True)) / sum(e) @ p["c"] + p["d"][0]))
+
+
+def test_scores_against_the_definition(spark, docs):
+    few = docs.where("length(coalesce(text, '')) < 3000")
+    labels = few.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    model = quality.train(few, labels)
+    got = quality.score(few, model, ["doc_id", "text"]).collect()
+    assert len(got) == few.count() and max(r.score for r in got) - min(r.score for r in got) > 0.1
+    assert [r.score for r in got] == pytest.approx([plain_score(model, r.text) for r in got], abs=2e-3)
+
+
 def test_gradients():
     rng = np.random.default_rng(8)
     model = quality.GatedAttention(6, 5, 4)
