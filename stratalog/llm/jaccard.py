@@ -20,6 +20,9 @@ Verification computes the intersection of the whole sets of 64-bit shingles. The
 bounded size and an exact join; each sends its set to the groups that compare it, and a text with very many partners is split
 over several groups.
 
+Tables. Lists, candidates and links come from as many partitions as shuffles have, some hundred kB of pairs from 200; they are written
+by few tasks. On a local disk Hadoop starts two processes for each file, which share the JVM's memory until they execute.
+
 Equal texts are one node under a 64-bit content key (n texts clash n**2 / 2**65 times), and so are shingles. A posting list is
 held by one task, at 26 bytes a different text. Results go from components to texts and from texts to rows by joins that split
 large components and large groups of copies over tasks.
@@ -35,14 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import U, WORD_BASE, gram_hashes, inside, mix, prefix, span_hash, text_chunks, word_hashes, words
 from .repeats import _new_texts, _split, by_key, deal, spread
-from .shared import bounded, join_spread, partitions, through_table
+from .shared import bounded, few_files, join_spread, partitions, through_table
 
 WORDS, PERCENT = 5, 80
 CELLS_BITS, CHUNK_CELLS = 22, 1 << 16
@@ -172,7 +174,7 @@ LISTS = [("token", U), ("key", np.int64), ("n", np.uint32), ("l", np.uint8), ("c
 
 
 def posting_lists(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """A table of (row, token, key, n, l, central): packed postings in token order, whole lists, of tokens that two texts or more have."""
+    """A table of (row, token, key, n, l, central): packed postings in token order, whole lists, of tokens that two texts or more have. row: the first token."""
     n_parts = partitions(docs.sparkSession)
     buckets = 4 * n_parts
     bound = 2.0 ** (np.arange(256) / 8) - 1
@@ -227,14 +229,14 @@ def posting_lists(docs: DataFrame, classes: np.ndarray) -> DataFrame:
         many = np.repeat(count > 1, count)
         t, rest = t[many], [x[many] for x in rest]
         ends = np.flatnonzero(np.concatenate((t[1:] != t[:-1], [True]))) + 1 if len(t) else np.zeros(0, int)
-        a, seq, part = 0, 0, TaskContext.get().partitionId()
+        a = 0
         while a < len(t):
             z = int(ends[min(len(ends) - 1, np.searchsorted(ends, a + 50_000))])
-            yield pa.RecordBatch.from_arrays([pa.array([part << 24 | seq], pa.int64()), *(pa.array([x[a:z].tobytes()], pa.binary()) for x in (t, *rest))], ["row", "token", "key", "n", "l", "central"])
-            a, seq = z, seq + 1
+            yield pa.RecordBatch.from_arrays([pa.array(t[a : a + 1].view(np.int64)), *(pa.array([x[a:z].tobytes()], pa.binary()) for x in (t, *rest))], ["row", "token", "key", "n", "l", "central"])
+            a = z
 
     packed = docs.select("key", "text").mapInArrow(send, "bucket int, token binary, key binary, n binary, l binary, central binary").repartition(n_parts, "bucket")
-    return through_table(packed.mapInArrow(collect, "row long, token binary, key binary, n binary, l binary, central binary"), "jaccard-lists")
+    return through_table(few_files(packed.mapInArrow(collect, "row long, token binary, key binary, n binary, l binary, central binary")), "jaccard-lists")
 
 
 def least_matches(na: np.ndarray, nb: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -303,7 +305,7 @@ def enough(packed: DataFrame, name: str) -> DataFrame:
             ok = count >= need
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
-    return through_table(packed.repartition(partitions(packed.sparkSession), "bucket").mapInArrow(total, "a long, b long"), name)
+    return through_table(few_files(packed.repartition(partitions(packed.sparkSession), "bucket").mapInArrow(total, "a long, b long")), name)
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
@@ -476,7 +478,7 @@ def verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     chosen = docs.select("key", "text").mapInArrow(choose, "key long, tokens binary").join(takers.hint("merge"), "key")  # a broadcast would fit small tables alone
     sent = chosen.select(F.explode("groups").alias("group"), F.col("key").alias("a"), F.lit(None).cast("long").alias("b"), "tokens")
     sent = sent.union(placed.select("group", "a", "b", F.lit(None).cast("binary").alias("tokens")))
-    return through_table(sent.repartition(partitions(docs.sparkSession), "group").mapInArrow(compare, "a long, b long"), name)
+    return through_table(few_files(sent.repartition(partitions(docs.sparkSession), "group").mapInArrow(compare, "a long, b long")), name)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -96,6 +96,15 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Tasks that few_files leaves at least.
+FILES = 32
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """df with its partitions worked one after another in at most FILES tasks, or two a core: each of them is as small as before, but a task writes one file."""
+    return df.coalesce(max(FILES, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

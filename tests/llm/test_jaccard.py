@@ -3,11 +3,12 @@
 import itertools
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from stratalog.llm import jaccard
+from stratalog.llm import jaccard, shared
 from stratalog.llm.components import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -45,6 +46,22 @@ def test_components_match(docs, monkeypatch, flush):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_tables_have_few_files(spark, docs, monkeypatch):
+    """However many partitions shuffles have; tasks then work several partitions, whose lists are still told apart."""
+    monkeypatch.setattr(shared, "FILES", 8, raising=False)
+    made = len(shared._made)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = Counter(tuple(r) for r in jaccard.near_copies(docs).select("doc_id", "n_shingles", "component_id").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    files = {at: len(list(Path(at.removeprefix("file:")).glob("part-*"))) for at in shared._made[made:]}
+    assert files and max(files.values()) <= max(8, 2 * spark.sparkContext.defaultParallelism)
+    lists = spark.read.parquet(next(at for at in files if "jaccard-lists" in at))
+    assert lists.count() == lists.select("row").distinct().count() > 8
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
 def test_one_of_each(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = jaccard.one_of_each(docs)
