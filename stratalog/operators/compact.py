@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import age_seconds
@@ -18,6 +18,9 @@ from .log import DELETE, PUT, RANGE_DELETE, points, ranges
 from .resolve import latest, visible
 from .sweep import cuts_of, least_inside, stabbed, with_buckets
 
+#: Blocks of 2**FINE lsns and more are counted in buckets of the key space.
+FINE = 16
+
 
 @dataclass(frozen=True)
 class Tiering:
@@ -140,7 +143,8 @@ def tombstone_gc(target: DataFrame, everything: DataFrame, drop_ranges: bool = T
 def overlapping_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     """For each range delete the runs with older records whose keys overlap it: lsn, older_run. runs is metadata, one row a run.
 
-    Runs and range deletes meet in the first bucket of the key space that both touch, so that each pair comes once.
+    Runs and range deletes meet in the first bucket of the key space that both touch, so that each pair comes once. There may be as many
+    pairs as there are runs times range deletes: where their number is enough, take overlap_counts.
     """
     cuts = cuts_of(log.select("key", "lsn"))
     r = runs.where("min_key is not null").select(F.col("run_id").alias("older_run"), F.col("min_key").alias("lo"), F.col("max_key").alias("hi"), "min_lsn")
@@ -148,7 +152,44 @@ def overlapping_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
     t = with_buckets(ranges(log).select("start", "end", "lsn", "run_id"), cuts, t_from="start", t_to="end")
     t = t.withColumn("bucket", F.explode(F.sequence("t_from", "t_to")))
     meet = (F.col("older_run") != F.col("run_id")) & (F.col("lo") < F.col("end")) & (F.col("hi") >= F.col("start")) & (F.col("min_lsn") < F.col("lsn"))
-    return t.join(r, "bucket").where((F.col("bucket") == F.greatest("r_from", "t_from")) & meet).select("lsn", "older_run")
+    # a run in each of its buckets is too much to broadcast
+    return t.join(r.hint("merge"), "bucket").where((F.col("bucket") == F.greatest("r_from", "t_from")) & meet).select("lsn", "older_run")
+
+
+def overlap_counts(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """older_run and n, the pairs of overlapping_runs that each run is in, without making them. Runs in none are left out, as are range deletes that are empty.
+
+    A range delete misses a run by ending at or below its least key or by starting above its greatest, and never does both. So n is the number
+    of starts up to the greatest key less that of ends up to the least, of range deletes above the run's least lsn; its own are taken off.
+    One lsn is above another where they agree down to some bit k, which the first has and the other hasn't. So a range delete lies in a block of
+    2**k lsns for each of its bits, a run asks one block for each bit that its least lsn lacks, and inside a block the order of keys tells
+    the number. Blocks from 2**FINE on are split by buckets of the key space, and the rows of the buckets before are added.
+    """
+    r = runs.where("min_key is not null").select("run_id", "min_key", "max_key", "min_lsn")
+    t = ranges(log).where("start < end").select("start", "end", "lsn", "run_id")
+    cuts, top = cuts_of(log.select("key", "lsn")), log.agg(F.max("lsn")).scalar()
+
+    def sides(rows: DataFrame, up: str, down: str, bit: int) -> DataFrame:
+        """run_id (of those who ask), side, bucket, key, k, block and n (1 for what is counted)."""
+        one = lambda side, key: F.struct(F.lit(side).alias("side"), F.col(key).alias("key"))
+        rows = with_buckets(rows.select("run_id", "lsn", F.inline(F.array(one(1, up), one(-1, down)))), cuts, bucket="key").withColumn("_top", top)
+        rows = rows.withColumn("k", F.explode(F.expr(f"filter(sequence(0, 62), k -> shiftright(_top, k) > 0 AND shiftright(lsn, k) & 1 = {bit})")))
+        bucket = F.when(F.col("k") >= FINE, F.col("bucket")).otherwise(0).alias("bucket")
+        return rows.select("run_id", "side", bucket, "key", "k", F.expr(f"shiftright(lsn, k) + {1 - bit}").alias("block"), F.lit(bit).cast("long").alias("n"))
+
+    def counted(rows: DataFrame, parts: list[str], *order: Column) -> DataFrame:
+        """What is held before each row that asks."""
+        to = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.withColumn("found", F.sum("n").over(to)).where("n = 0").select("run_id", (F.col("side") * F.col("found")).alias("n"))
+
+    block = ["side", "k", "block"]
+    held, asked = sides(t, "start", "end", 1), sides(r.withColumnRenamed("min_lsn", "lsn"), "max_key", "min_key", 0)
+    inside = counted(held.union(asked), [*block, "bucket"], F.col("key"), F.col("n").desc())
+    full = held.where(F.col("k") >= FINE).groupBy(*block, "bucket").agg(F.sum("n").alias("n")).withColumn("run_id", F.lit(None).cast("long"))
+    before = counted(full.unionByName(asked.where(F.col("k") >= FINE).select(full.columns)), block, F.col("bucket"), F.col("n"))
+    meet = (F.col("min_key") < F.col("end")) & (F.col("max_key") >= F.col("start")) & (F.col("min_lsn") < F.col("lsn"))
+    own = t.join(r, "run_id").where(meet).select("run_id", F.lit(-1).cast("long").alias("n"))
+    return inside.union(before).union(own).groupBy(F.col("run_id").alias("older_run")).agg(F.sum("n").alias("n")).where("n > 0")
 
 
 class Strategy(Protocol):

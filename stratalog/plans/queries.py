@@ -176,7 +176,7 @@ def gc_then_visible(spark: SparkSession, d: str) -> DataFrame:
 
 def overlapping_runs(spark: SparkSession, d: str) -> DataFrame:
     rows = event_log(spark, d)
-    return compact.overlapping_runs(rows, flush.run_properties(rows)).groupBy("older_run").agg(F.count(F.lit(1)).alias("n"))
+    return compact.overlap_counts(rows, flush.run_properties(rows))
 
 
 def manifest_events(spark: SparkSession, d: str) -> DataFrame:

@@ -248,3 +248,49 @@ def test_empty_log(spark):
     none = log.empty(spark)
     assert resolve.visible(none).count() == 0 and flush.run_properties(none).count() == 0 and flush.memtable_stats(none).first().versions == 0
     assert math.isclose(compact.tier_table(flush.run_properties(none)).count(), 0)
+
+
+@pytest.mark.parametrize("fine", [2, compact.FINE])
+def test_overlaps_are_counted_without_pairs(spark, monkeypatch, fine):
+    monkeypatch.setattr(compact, "FINE", fine)
+    rng, rows = random.Random(7), []
+    key = lambda: b"%02d" % rng.randrange(40)
+    for lsn in range(1, 500):
+        a, b = sorted((key(), key()))
+        rows.append(rdel(a, b, lsn) if lsn % 3 == 0 and a < b else put(a, b"v", lsn))
+    data = make(spark, rows, run=lambda lsn: lsn % 50 if lsn > 100 else lsn // 7)
+    runs = flush.run_properties(data)
+    want = {r.older_run: r.n for r in compact.overlapping_runs(data, runs).groupBy("older_run").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plain: dict[int, int] = {}
+    of = lambda lsn: lsn % 50 if lsn > 100 else lsn // 7
+    for run in {of(r[4]) for r in rows}:
+        own = [r for r in rows if of(r[4]) == run]
+        held = [r[1] for r in own if r[0] < 2]
+        n = sum(r[0] == 2 and of(r[4]) != run and min(held) < r[2] and max(held) >= r[1] and min(x[4] for x in own) < r[4] for r in rows) if held else 0
+        plain |= {run: n} if n else {}
+    assert {r.older_run: r.n for r in compact.overlap_counts(data, runs).collect()} == want == plain
+
+
+def test_overlapping_runs_makes_no_pairs(spark, tmp_path):
+    """300 runs and 300 range deletes over all of them: the query's steps make far fewer rows than there are pairs."""
+    from stratalog.plans import queries
+
+    kinds = [("view", 0), ("view", 99), ("error", 85)]
+    rows = [(500 * run + i, 1, kind, 1.0, '{"k": %d}' % k) for run in range(300) for i, (kind, k) in enumerate(kinds)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.lit("2024-01-01").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = queries.overlapping_runs(spark, str(tmp_path))
+        execution = df._jdf.queryExecution()
+        got = {r[0]: r[1] for r in (list(execution.executedPlan().executeCollectPublic()) and df.collect())}
+        todo, most = [execution.executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            found = node.metrics().get("numOutputRows")
+            most = max(most, found.get().value() if found.isDefined() else 0)
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {run: 299 - run for run in range(299)}
+    assert 0 < most < 20_000 < sum(got.values())
