@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sweep import cuts_of, with_buckets
+from .sweep import cuts_of, halved
 
 PUT, DELETE, RANGE_DELETE = 0, 1, 2
 MOST_LSN = 2**63 - 1
@@ -49,7 +49,7 @@ def numbered(batch: DataFrame, base: int, order: list[str]) -> DataFrame:
     row's bucket follows from its columns alone, so that a task that runs again deals it as before.
     """
     rows = batch.withColumn("_order", F.struct(*order))
-    parted = with_buckets(rows, cuts_of(rows.select("_order")), _part="_order").drop("_order")
+    parted = halved(rows, cuts_of(rows.select("_order"), flat=True), "_part", "_order").drop("_order")
     before = parted.groupBy("_part").count()
     before = before.select(F.col("_part").alias("_p"), (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_shift"))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

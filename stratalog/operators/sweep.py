@@ -31,11 +31,13 @@ NONE = np.iinfo(np.int64).max
 ROWS = 500_000
 
 
-def cuts_of(keys: DataFrame) -> Column:
-    """At most MOST_BUCKETS cuts, ascending and distinct, in lists of STEP, sampled from keys (key and what tells its rows apart)."""
+def cuts_of(keys: DataFrame, flat: bool = False) -> Column:
+    """At most MOST_BUCKETS cuts, ascending and distinct, in lists of STEP (flat: in one), sampled from keys (key and what tells its rows apart)."""
     n = min(MOST_BUCKETS, 4 * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sample = keys.orderBy(F.xxhash64(*keys.columns)).limit(OVERSAMPLE * n).agg(F.sort_array(F.collect_list(keys.columns[0])).alias("k"))
     cuts = sample.select(F.array_distinct(F.filter("k", lambda x, i: i % OVERSAMPLE == OVERSAMPLE - 1)).alias("c"))
+    if flat:
+        return cuts.scalar()
     parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size("c") - 1) / STEP).cast("int")), lambda i: F.slice("c", i * STEP + 1, STEP))
     return cuts.select(parts.alias("parts")).scalar()
 
@@ -52,6 +54,19 @@ def with_buckets(rows: DataFrame, cuts: Column, **keys: str) -> DataFrame:
     return rows.withColumn("_cuts", cuts).withColumns(found).drop("_cuts")
 
 
+def halved(rows: DataFrame, cuts: Column, name: str, key: str) -> DataFrame:
+    """with_buckets for flat cuts, by halving in plain expressions, one a step.
+
+    A stage compiles them and the cuts stay a reference, where a higher-order function has its cuts copied into each row. Compiling takes
+    seconds, and a filter on name must not be pushed below, as each step names the one before twice.
+    """
+    out = rows.withColumn("_cuts", cuts).withColumn(name, F.lit(0))
+    for i in range(MOST_BUCKETS.bit_length() - 1, -1, -1):
+        half = 1 << i
+        out = out.withColumn(name, F.col(name) + F.when(F.get("_cuts", F.col(name) + (half - 1)) <= F.col(key), half).otherwise(0))
+    return out.drop("_cuts")
+
+
 # two least values of different runs, as arrays (v1, r1, v2)
 
 Two = tuple[np.ndarray, np.ndarray, np.ndarray]

@@ -212,3 +212,16 @@ def test_a_strategy_of_ones_own(spark, tmp_path, monkeypatch):
         db.put(b"s%d" % i, b"v")
         db.flush()
     assert db.minor_compact() and not db.minor_compact() and db.stats()["run_count"] == 2 and len(db.scan(b"s", b"t")) == 3
+
+
+def test_a_bad_batch_leaves_nothing_and_a_batch_is_numbered_once(spark, tmp_path, monkeypatch):
+    db, kinds = Db.open(spark, str(tmp_path)), "op int, key binary, end binary, value binary, n long"
+    with pytest.raises(InvalidArgument):
+        db.write(spark.createDataFrame([(0, bytearray(b"a"), None, bytearray(b"1"), 1), (2, bytearray(b"z"), bytearray(b"b"), None, 2)], kinds), ["n"])
+    assert db.stats()["run_count"] == 0 and not names(tmp_path, "runs") and db.scan(b"a", b"z") == []
+    from stratalog.operators import log
+
+    checked = []
+    monkeypatch.setattr(log, "invalid", lambda rows, own=log.invalid: checked.append(rows.inputFiles()) or own(rows))
+    assert db.write(spark.createDataFrame([(0, bytearray(b"a"), None, bytearray(b"1"), 1)], kinds), ["n"]) and db.scan(b"a", b"z") == [(b"a", b"1")]
+    assert all("/runs/" in f for files in checked for f in files) and all(checked)  # the written run is looked at, not the batch

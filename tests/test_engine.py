@@ -294,3 +294,13 @@ def test_overlapping_runs_makes_no_pairs(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == {run: 299 - run for run in range(299)}
     assert 0 < most < 20_000 < sum(got.values())
+
+
+def test_buckets_are_searched_in_compiled_steps(spark):
+    """No interpreted projection into whose rows the cuts are copied, and the places are those of a plain search."""
+    cuts = list(range(0, 3000, 3))
+    column = spark.range(1).select(F.lit(cuts).alias("c")).scalar()
+    found = sweep.halved(sweep.halved(spark.range(-2, 3005).withColumn("none", F.lit(None).cast("long")), column, "b", "id"), column, "n", "none")
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert [r.b for r in got] == np.searchsorted(cuts, range(-2, 3005), "right").tolist() and {r.n for r in got} == {0}
